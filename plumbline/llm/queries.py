@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import quality as _quality
 from plumbline.llm import secret_scan as _secrets
+from plumbline.llm import token_files as _token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,16 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return _token_files.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_secret_scans": op3_secret_scans,
+    "op5_token_files": op5_token_files,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in _quality.STOP_WORDS)
