@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm import lang_id as _lang_id
 from plumbline.llm import quality as _quality
 from plumbline.llm import secret_scan as _secrets
 from plumbline.llm import token_files as _token_files
@@ -28,10 +29,15 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_files.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lang_id.language_id(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_secret_scans": op3_secret_scans,
     "op5_token_files": op5_token_files,
+    "op7_language_id": op7_language_id,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in _quality.STOP_WORDS)
