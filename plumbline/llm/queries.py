@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import fingerprints as _fingerprints
 from plumbline.llm import lang_id as _lang_id
+from plumbline.llm import ngram_join as _ngram_join
 from plumbline.llm import quality as _quality
 from plumbline.llm import secret_scan as _secrets
 from plumbline.llm import token_files as _token_files
@@ -38,12 +39,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lang_id.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ngram_join.similar_groups(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_secret_scans": op3_secret_scans,
     "op5_token_files": op5_token_files,
     "op7_language_id": op7_language_id,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in _quality.STOP_WORDS)
