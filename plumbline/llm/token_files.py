@@ -40,7 +40,8 @@ BLOCK = 512
 #: A file is closed once it has this many ids.
 FILE_TOKENS = 4_000_000
 #: Word pieces that a worker remembers; others are encoded whenever they come.
-MEMORY = 600_000
+MEMORY = 900_000
+LONGEST = 40
 
 _HEADER = struct.Struct("<8sQQQ")
 
@@ -118,8 +119,13 @@ class TokenFile:
         return found
 
 
-#: Letters whose class no version of Unicode changes, and an ending that is a piece of its own.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+#: Letters whose class no version of Unicode changes.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
+#: Punctuation behind them is a piece of its own (an apostrophe might not be).
+_MARKS = r"[!-&(-/:-@\[-`{-~]{0,8}"
+_PLAIN = re.compile(f"({_LETTERS})({_MARKS})")
+#: Plain words with single line ends between them.
+_LINES = re.compile(rf"{_LETTERS}{_MARKS}(?:\n{_LETTERS}{_MARKS})+")
 #: A space that is followed by white space belongs to a longer piece.
 _RUN = re.compile(r" (?=\s|$)")
 
@@ -131,6 +137,45 @@ def _visible() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class _Parts(dict):
+    """Ids of parts that follow ``lead`` (a space or nothing), found when first asked for."""
+
+    def __init__(self, encoder: Encoder, lead: str, after: _Parts | None = None):
+        super().__init__()
+        self.encoder, self.lead, self.after = encoder, lead, after or self
+        self.visible_lead = lead.translate(encoder.visible)
+
+    def __missing__(self, part: str) -> bytes:
+        e = self.encoder
+        if m := _PLAIN.fullmatch(part):
+            seen = m[1] if part.isascii() else m[1].encode().decode("latin-1").translate(e.visible)
+            ids = array(e.code, [t.id for t in e.tokenizer.model.tokenize(self.visible_lead + seen)]).tobytes()
+            if m[2]:
+                ids += e.endings[m[2]]
+        elif _LINES.fullmatch(part):  # a single line end is a piece of its own, and so is what follows
+            head, *rest = part.split("\n")
+            return e.endings["\n"].join([self[head], *map(self.after.__getitem__, rest)])
+        else:
+            ids = e.whole([self.lead + part])[0]
+        if len(self) < MEMORY and len(part) <= LONGEST:
+            self[part] = ids
+        return ids
+
+
+class _Endings(dict):
+    """Ids of pieces that stand alone: punctuation behind a word (short, so there are few that occur), a line end."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encoder.whole([piece])[0]
+        if len(self) < 10_000:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """The ids of texts under a byte-level tokenizer that splits words before a space, remembering pieces.
 
@@ -146,38 +191,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.visible = _visible()
-        self.known: dict[str, bytes] = {}
-        self.endings = {x: self.whole([x])[0] for x in ".,"} | {"": b""}
+        self.endings = _Endings(self)
+        self.first = _Parts(self, "")
+        self.later = _Parts(self, " ", self.first)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """The ids of parts that follow a space."""
-        found, odd = {}, []
-        tokenize = self.tokenizer.model.tokenize
-        for part in parts:
-            if m := _PLAIN.fullmatch(part):
-                seen = f" {m[1]}".encode().decode("latin-1").translate(self.visible)
-                found[part] = array(self.code, [t.id for t in tokenize(seen)]).tobytes() + self.endings[m[2]]
-            else:
-                odd.append(part)
-        found.update(zip(odd, self.whole([f" {x}" for x in odd]), strict=True))
-        return found
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as native integers of ``self.code``."""
-        plain = [not _RUN.search(t) for t in texts]
-        heads = self.whole([t.split(" ", 1)[0] if p else t for t, p in zip(texts, plain, strict=True)])
-        parts = [t.split(" ")[1:] if p else [] for t, p in zip(texts, plain, strict=True)]
-        known = self.known
-        new = self._learn({x for p in parts for x in p if x not in known})
-        if len(known) + len(new) <= MEMORY:
-            known.update(new)
-            new = {}
-        if new:
-            return [h + b"".join([known[x] if x in known else new[x] for x in p]) for h, p in zip(heads, parts, strict=True)]
-        return [h + b"".join(map(known.__getitem__, p)) for h, p in zip(heads, parts, strict=True)]
+        return [self.whole([t])[0] if _RUN.search(t) else self._by_parts(t) for t in texts]
+
+    def _by_parts(self, text: str) -> bytes:
+        head, *parts = text.split(" ")
+        return self.first[head] + b"".join(map(self.later.__getitem__, parts))
 
 
 _encoders: dict[str, Encoder] = {}
