@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import fingerprints as _fingerprints
+from plumbline.llm import html_wrappers as _html_wrappers
 from plumbline.llm import lang_id as _lang_id
 from plumbline.llm import ngram_join as _ngram_join
 from plumbline.llm import quality as _quality
@@ -29,6 +30,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html_wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_secret_scans": op3_secret_scans,
+    "op4_html_extraction": op4_html_extraction,
     "op5_token_files": op5_token_files,
     "op7_language_id": op7_language_id,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
