@@ -1,4 +1,7 @@
-"""Registry of the library's own queries: name -> callable(spark, sf_dir), and their DuckDB SQL."""
+"""Registry of the library's own queries: name -> callable(spark, sf_dir), and their DuckDB SQL.
+
+Names begin with the operator's number in the coverage list.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.plans import graph
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _part in (graph,):
+    QUERIES.update(_part.QUERIES)
+    ORACLES.update(_part.ORACLES)
+
 FLAGSHIP = "g_callees_within_3"
