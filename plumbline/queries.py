@@ -9,11 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import graph
+from plumbline.plans import findings, graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (graph,):
+for _part in (graph, findings):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)
 
