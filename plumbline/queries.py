@@ -9,11 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import findings, graph, text
+from plumbline.plans import findings, governance, graph, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (graph, findings, text):
+for _part in (graph, findings, text, governance):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)
 
