@@ -70,14 +70,14 @@ def entropy_hits(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIN
         counts: dict[str, int] = {}
         total, begin = 0.0, 0
         for i, new in enumerate(text):
-            c = counts.get(new, 0)
-            total += weight[c + 1] - weight[c]
-            counts[new] = c + 1
             if i - begin == width:
                 c = counts[text[begin]]
                 total += weight[c - 1] - weight[c]
                 counts[text[begin]] = c - 1
                 begin += 1
+            c = counts.get(new, 0)
+            total += weight[c + 1] - weight[c]
+            counts[new] = c + 1
             if i - begin == width - 1:
                 bits = math.log2(width) - total / width
                 if bits > threshold:

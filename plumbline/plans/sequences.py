@@ -118,4 +118,3 @@ _add(
     lambda v: v.groupBy(F.session_window("ts", "6 hours").alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").cast("timestamp_ntz").alias("start"), "n"),
     ", g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM h GROUP BY user_id, k",
 )
-_LANG = "SELECT 'x/' || p_name || CASE p_type WHEN 'PROMO' THEN '.go' WHEN 'SMALL' THEN '.py' WHEN 'LARGE' THEN '.rs' WHEN 'MEDIUM' THEN '.tsx' ELSE '.txt' END AS path, p_name AS name, p_partkey AS id FROM part"

@@ -9,11 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import findings, governance, graph, search, sequences, text
+from plumbline.plans import findings, governance, graph, search, sequences, sources, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (graph, findings, text, governance, search, sequences):
+for _part in (graph, findings, text, governance, search, sequences, sources):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)
 
