@@ -41,3 +41,20 @@ def test_the_rest_works_without_the_optional_part(tmp_path):
 @pytest.mark.parametrize("path", [ROOT / "bench.py"])
 def test_scripts_parse(path):
     ast.parse(path.read_text())
+
+
+def test_queries_run_from_any_folder(tmp_path):
+    import subprocess
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    code = (
+        f"import sys; sys.path.insert(0, {str(ROOT)!r}); import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        f"assert e.queries()['w05_ewma_drift'](s, {sf!r}).count() > 0\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env)
+    assert done.returncode == 0, done.stderr[-2000:]
