@@ -145,6 +145,16 @@ def scalar(front: Column, key: str) -> Column:
     return F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).when(plain, raw)
 
 
+def string_list(front: Column, key: str) -> Column:
+    """The strings of a top-level list, in brackets or in lines that begin with a dash; what is no string is left out, an absent list is empty."""
+    text = F.coalesce(front, F.lit(""))
+    inline = F.split(F.regexp_extract(text, rf"(?m)^{key}[ \t]*:[ \t]*\[([^\]]*)\]", 1), ",")
+    block = F.regexp_extract_all(F.regexp_extract(text, rf"(?m)^{key}[ \t]*:[ \t]*\r?\n((?:[ \t]*-[^\n]*(?:\n|\z))+)", 1), F.lit(r"(?m)^[ \t]*-[ \t]*(.*?)[ \t\r]*$"), F.lit(1))
+    every = F.transform(F.concat(inline, block), lambda x: F.trim(x))
+    bare = F.filter(every, lambda x: (x != "") & ~x.rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$|^(true|false|yes|no|on|off|null|~)$|^[\[{]"))
+    return F.transform(bare, lambda x: F.regexp_replace(x, "^[\"'](.*)[\"']$", "$1"))
+
+
 def title(content: Column, path: Column) -> Column:
     """Of the front matter, else the first heading of level one or two, else the file's name without extension."""
     heading = F.trim(F.regexp_extract(body(content), r"(?m)^[ \t]*##? (.*)$", 1))

@@ -109,3 +109,37 @@ def read_templates(spark: SparkSession, folder: str) -> DataFrame:
     """(name, text) of the fix templates in a folder."""
     rows = [(p.stem, p.read_text()) for p in sorted(Path(folder).glob("*.y*ml"))]
     return spark.createDataFrame(rows, "name string, text string")
+
+
+class StateTable:
+    """A small table of states that is replaced as a whole: every save is a new version, the last complete one counts.
+
+    A save that breaks off leaves the version before it in force, as a version is
+    complete only once its marker is written.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    def _versions(self) -> list[int]:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(hadoop):
+            return []
+        found = []
+        for status in fs.listStatus(hadoop):
+            path = status.getPath()
+            name = path.getName()
+            if name.startswith("v") and name[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+                found.append(int(name[1:]))
+        return sorted(found)
+
+    def load(self) -> DataFrame:
+        versions = self._versions()
+        if not versions:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{versions[-1]}")
+
+    def save(self, states: DataFrame) -> None:
+        versions = self._versions()
+        states.write.mode("overwrite").parquet(f"{self.root}/v{(versions[-1] if versions else 0) + 1}")

@@ -101,3 +101,12 @@ def test_audit_chain(spark, tmp_path):
     remote.append_audit(rows.where("seq >= 3"), path, last)
     got = verify_chain(spark.read.schema("log string, seq bigint, entry string, hash string").json(path)).collect()
     assert len(got) == 5 and all(r.valid for r in got)
+
+
+def test_state_tables_keep_the_last_complete_version(spark, tmp_path):
+    table = files.StateTable(spark, f"file://{tmp_path}/locks", "path string, agent_id string")
+    assert table.load().collect() == []
+    table.save(spark.createDataFrame([("a", "x")], table.schema))
+    table.save(table.load().unionByName(spark.createDataFrame([("b", "y")], table.schema)))
+    (tmp_path / "locks" / "v9").mkdir()  # broken off
+    assert sorted(r.path for r in table.load().collect()) == ["a", "b"]

@@ -140,3 +140,9 @@ def test_first_matching_type_wins(spark):
     paths = ["docs/adr/1.md", "docs/runbooks/operational-x.md", "ops/runbooks/a.md", "x/CHANGELOG.md", "CHANGELOG.md", None]
     got = [r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string").select(gv.doc_type(F.col("p"))).collect()]
     assert got == ["adr", "runbook", "runbook", None, "changelog", None]
+
+
+def test_lists_in_front_matter(spark):
+    front = "tags: [a, 'b c', 3, true]\nowners:\n  - me\n  - \"you\"\n  - 4\nname: x\n"
+    row = spark.createDataFrame([(front,)], "f string").select(gv.string_list(F.col("f"), "tags"), gv.string_list(F.col("f"), "owners"), gv.string_list(F.col("f"), "none")).first()
+    assert list(row) == [["a", "b c"], ["me", "you"], []]
