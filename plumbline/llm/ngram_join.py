@@ -46,9 +46,9 @@ from plumbline.llm.components import components
 from plumbline.llm.shingles import mixed, shingle_sets
 
 #: Shingles of sets that a task of the last phase may hold for each chunk.
-TASK_SHINGLES = 2_000_000
+TASK_SHINGLES = 400_000
 #: Announcements that a task sorts at a time.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Members that all chunks of a large group get, on average.
 HUBS = 32
 #: Group members up to which their list is broadcast; beyond, documents are joined by a shuffle.

@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker remembers.
-MEMORY = 400_000
+MEMORY = 250_000
 
 
 class _Words(dict):
