@@ -15,7 +15,8 @@ else the element that holds most of the text, without menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments, which tags, roles,
 classes and ids tell, and without texts that are the host's: those the wrapper
 holds as a constant of ``min_pages`` pages or more. If nothing but constants is
-left, they stay (all pages of the host are then copies).
+left, they stay (all pages of the host are then copies); if classes and ids leave
+nothing, only elements tell what is aside.
 
 Defined results: null or empty html gives the empty text; a null url is a host of
 its own; repeated rows are extracted one by one; unknown entities stay as written.
@@ -65,6 +66,8 @@ _TOKEN = re.compile(
 _CUT_TAG = re.compile(r"<[a-zA-Z/!][^<]*\Z")
 _MARK = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
+#: Such as ``has-sidebar``: what a block has, or has not, it is not.
+_ABOUT = re.compile(r"\b(?:has|no|not|with|without)[-_][a-z]+")
 # Words in classes, ids and roles that name what is not the article.
 ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -90,7 +93,7 @@ class Block:
 def _tag(name: str, rest: str) -> tuple[frozenset[str], str]:
     """The words of a tag's marks, and its name in wrappers (digits left out: they number items)."""
     found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _MARK.finditer(rest)] if "=" in rest else []
-    words = frozenset(w for _, value in found for w in _WORDS.findall(value))
+    words = frozenset(w for _, value in found for w in _WORDS.findall(_ABOUT.sub(" ", value)))
     return words, f"{name}.{'.'.join(sorted(words))}" if words else name
 
 
@@ -234,10 +237,12 @@ _ARTICLE = frozenset({"article", "main"})
 _KEPT = frozenset({"", "html", "body", "article", "main"})
 
 
-def is_aside(block: Block, within: bool) -> bool:
-    """Whether a block is none of the article's; ``within``: it stands in the article."""
+def is_aside(block: Block, within: bool | None) -> bool:
+    """Whether a block is none of the article's; ``within``: it stands in the article; None: only elements tell, not their marks."""
     if block.name in DROPPED:
         return True
+    if within is None:
+        return False
     if block.name == "header" and not within:
         return not _inside(block, _ARTICLE)
     if block.name in _KEPT and not (block.name == "article" and block.marks & {"comment", "comments"}):
@@ -248,7 +253,7 @@ def is_aside(block: Block, within: bool) -> bool:
     return bool(found) and not _inside(block, _ARTICLE)
 
 
-def texts(block: Block, within: bool, constants: bool) -> list[str]:
+def texts(block: Block, within: bool | None, constants: bool) -> list[str]:
     """The block's texts in page order, without what is aside and, unless asked for, without constants."""
     out = []
     for i, part in enumerate(block.parts):
@@ -292,7 +297,7 @@ def main_text(page: str, wrapper: list | None = None, min_pages: int = MIN_PAGES
     if wrapper:
         mark_constants(root, wrapper, min_pages)
     block, marked = main_block(root)
-    return "\n".join(texts(block, marked, False) or texts(block, marked, True))
+    return "\n".join(texts(block, marked, False) or texts(block, marked, True) or texts(root, None, True))
 
 
 def host_of(url: str | None) -> str:

@@ -40,6 +40,9 @@ def test_one_page():
         ("<article><p>short</p></article><article><p>the longer one</p></article>", "the longer one"),
         ("<div>" * 500 + "deep" + "</div>" * 500, "deep"),
         ("<p><b>one<br><p>two</p>", "one\ntwo"),
+        ('<div class="page has-sidebar"><p>text</p><div class="sidebar"><p>side</p></div></div>', "text"),
+        ('<div class="sidebar"><p>all there is</p><nav>menu</nav></div>', "all there is"),
+        ("<nav>menu</nav>", ""),
     ],
 )
 def test_markup(page, text):
