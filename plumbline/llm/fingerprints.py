@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,8 +94,13 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataF
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first()["q"] if ranges > 1 else None
-    bounds = sorted(set(found or []))
-    width = F.lit(0) if not bounds else F.coalesce(F.array_size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda b: b <= F.col("id"))), F.lit(0))
+    bounds = np.array(sorted(set(found or [])), np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), "right"))
+
+    width = range_of(F.coalesce("id", F.lit(-(1 << 63))))  # only the ids go to Python; a null id stands before all
     rows = rows.select(width.alias("range"), "id", F.xxhash64("text").alias("h"), "text")
     firsts = sorted(rows.groupBy("range").agg(F.min(F.struct("id", "h")).alias("f")).collect(), key=lambda r: r["range"])
     small = spark.createDataFrame([(r["range"], r["f"]["id"], r["f"]["h"], firsts[k - 1]["range"]) for k, r in enumerate(firsts)], "range int, first_id long, first_h long, before int")
