@@ -158,8 +158,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return map_batches(rows, work, schema)
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is found with a share of ``min_score`` or more."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is found, with a share of ``min_score`` or more.
+
+    By default only texts without a language go (null, empty, letterless): a text in
+    several languages has a small largest share, but is as good as another.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

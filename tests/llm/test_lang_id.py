@@ -63,6 +63,13 @@ def test_reject(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in d.collect()} - {100, 101, 102}
 
 
+def test_a_text_in_many_languages_stays(spark):
+    train = li.train(docs(spark))
+    model = li.Model(train.languages, train.probabilities, penalty=0.01)
+    mixed = spark.createDataFrame([(1, " ".join(EN + DE))], "doc_id long, text string")
+    assert model.predict(mixed.first().text)[1] < 0.7 and li.keep_identified(mixed, model).count() == 1
+
+
 def test_a_text_longer_than_a_slice():
     text = "abc déf " * 400_000
     assert len(li.trigrams(text, 1 << 16)) >= len(text)
