@@ -8,23 +8,10 @@ sequence as the only shingle, one without words none. A shingle's hash mixes the
 
 from __future__ import annotations
 
-import numpy as np
-import xxhash
-
-#: Words that a worker remembers.
-MEMORY = 250_000
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
+from itertools import chain
 
+import numpy as np
+from xxhash import xxh3_64_intdigest
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the public splitmix64 finaliser)."""
@@ -43,7 +30,7 @@ def shingle_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray
     split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     sizes = np.array([len(x) for x in split], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.fromiter((_words[w] for x in split for w in x), np.uint64, int(begins[-1]))
+    flat = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, int(begins[-1]))
     counts = np.where(sizes >= width, sizes - width + 1, np.minimum(sizes, 1))
     offsets = np.concatenate([[0], np.cumsum(counts)])
     factors = place_factors(width)
