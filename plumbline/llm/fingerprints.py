@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm._batches import slices, texts_of
+from plumbline.llm._batches import arrow_map, slices, texts_of
 from plumbline.llm.shingles import mixed, shingle_hashes
 
 BINS = 512
@@ -154,4 +154,4 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield emit(chain)
                     chain = chain[-1:]
 
-    return with_next(docs, id_col, text_col, ranges).mapInArrow(work, schema)
+    return arrow_map(with_next(docs, id_col, text_col, ranges), work, schema)

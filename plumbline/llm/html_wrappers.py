@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm._batches import texts_of
+from plumbline.llm._batches import arrow_map, texts_of
 from plumbline.llm._shared import shared_dir, written
 
 #: A constant of at least so many pages is the host's.
@@ -344,7 +344,7 @@ def infer(pages: DataFrame, root: str, url_col: str = "url", html_col: str = "ht
             yield rows({host: wrapper})
 
     kind = "host string, wrapper string"
-    part = pages.select(url_col, html_col).mapInArrow(read, kind)
+    part = arrow_map(pages.select(url_col, html_col), read, kind)
     half = part.withColumn("salt", F.spark_partition_id() % 64).repartition("host", "salt").sortWithinPartitions("host", "salt").select("host", "wrapper").mapInArrow(fold, kind)
     return written(half.repartition("host").sortWithinPartitions("host").mapInArrow(fold, kind), root, "wrappers")
 
@@ -374,7 +374,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     found.append(main_text(page, ready[host], min_pages))
                 yield result(batch, found)
 
-        return rows.mapInArrow(work, schema)
+        return arrow_map(rows, work, schema)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, wrapper = None, None
@@ -388,4 +388,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
     both = rows.withColumn("_host", host).join(wrappers.withColumnRenamed("host", "_host"), "_host", "left")
-    return both.select(*rows.columns, "wrapper").mapInArrow(joined, schema)
+    return arrow_map(both.select(*rows.columns, "wrapper"), joined, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm._batches import SLICE_CHARS, map_batches
+from plumbline.llm._batches import SLICE_CHARS, arrow_map, map_batches
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -139,7 +139,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         if len(who):
             yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int32)), pa.array(gram.astype(np.int32)), pa.array(table[who, gram])], names=["lang", "gram", "n"])
 
-    sums = sample.mapInArrow(count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    sums = arrow_map(sample, count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((len(languages), buckets))
     table[sums["lang"].to_numpy(), sums["gram"].to_numpy()] = sums["n"].to_numpy()
     return Model(tuple(languages), (table + smoothing) / (table.sum(axis=1, keepdims=True) + smoothing * buckets))

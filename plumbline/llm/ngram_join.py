@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._batches import slices, texts_of
+from plumbline.llm._batches import arrow_map, slices, texts_of
 from plumbline.llm._shared import shared_dir, written
 from plumbline.llm.components import components
 from plumbline.llm.shingles import mixed, shingle_sets
@@ -204,7 +204,7 @@ def _table(docs: DataFrame, width: int) -> DataFrame:
                 keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), keys, pa.array([len(s) for s in sets], pa.int64())], names=["id", "node", "n"])
 
-    return docs.mapInArrow(work, "id long, node long, n long")
+    return arrow_map(docs, work, "id long, node long, n long")
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,8 +277,8 @@ def _candidates(docs: DataFrame, width: int, percent: int) -> DataFrame:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    sent = docs.mapInArrow(announce, "key long, node long, to long")
-    return sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "a long, b long")
+    sent = arrow_map(docs, announce, "key long, node long, to long")
+    return arrow_map(sent.repartition("key").sortWithinPartitions("key", "node"), meet, "a long, b long", rows=None)
 
 
 def _linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -316,7 +316,7 @@ def _linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
                         sides.append(side[r])
         yield from join(nodes, sets, known, sides)
 
-    return rows.repartition(*places).sortWithinPartitions(*places).mapInArrow(work, "a long, b long")
+    return arrow_map(rows.repartition(*places).sortWithinPartitions(*places), work, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, root: str | None = None) -> DataFrame:

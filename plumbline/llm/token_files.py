@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm._batches import slices, texts_of
+from plumbline.llm._batches import arrow_map, slices, texts_of
 from plumbline.llm._shared import shared_dir, written
 
 MAGIC = b"DACT0001"
@@ -262,7 +262,7 @@ def write_files(docs: DataFrame, root: str, tokenizer: str, end_id: int = 2, id_
     manifest = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id"), F.xxhash64("text")]
-    files = pair.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(work, "part long, seq long, name string, n_docs long, n_tokens long")
+    files = arrow_map(pair.repartitionByRange(*order).sortWithinPartitions(*order, "text"), work, "part long, seq long, name string, n_docs long, n_tokens long")
     return written(files, root, "manifest")
 
 
