@@ -20,14 +20,18 @@ least ``percent`` / 100. The result is exact (up to clashes of 64-bit hashes).
    visited together and left when sizes or the most overlap that the bitmaps allow
    exclude a link, or when all members are connected already. What is left is
    compared exactly.
-4. A group of more than ``task_shingles`` shingles is dealt into chunks. First each
-   chunk is joined by itself together with a few members that all chunks get; if
-   that does not connect the whole group, every pair of its chunks is joined.
+4. A group of more than ``task_shingles`` shingles is dealt into chunks by the sizes
+   of its sets. First each chunk is joined by itself together with a few members that
+   all chunks get. What that does not connect with the group's largest part is dealt
+   into chunks of its own, and each of these is joined with every chunk whose sizes
+   allow a link.
 5. Links found are connected by distributed components.
 
 Defined results: a null or wordless text has no shingles, links with nothing and
 is its own component. A null id takes no part in links; its component is null.
 Repeated rows and rows that share an id are documents of their own with that id.
+Ids are integers, or strings of such; others fail. Texts of any length are taken
+whole. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -37,16 +41,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.llm._batches import arrow_map, slices, texts_of
 from plumbline.llm._shared import shared_dir, written
 from plumbline.llm.components import components
 from plumbline.llm.shingles import mixed, shingle_sets
 
-#: Shingles of sets that a task of the last phase may hold for each chunk.
-TASK_SHINGLES = 400_000
+#: Shingles of sets that a chunk of a candidate group holds; larger groups have several.
+TASK_SHINGLES = 40_000
 #: Announcements that a task sorts at a time.
 HELD = 1_000_000
 #: Members that all chunks of a large group get, on average.
@@ -163,7 +168,7 @@ class SignatureTree:
     def connect(self, groups: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
         """Links that connect what links connect. ``groups``: what is known to be connected; changed as links are found.
 
-        ``sides``: compare only sets of different sides.
+        ``sides``: of two sets with side 0 it is known whether they are linked, so these are not compared.
         """
         found = []
         top = len(self.levels) - 1
@@ -187,7 +192,7 @@ class SignatureTree:
                 continue
             for i in range(left.start, left.stop):
                 for j in range(max(i + 1, right.start), right.stop):
-                    if groups[i] != groups[j] and (sides is None or sides[i] != sides[j]) and self.linked(i, j):
+                    if groups[i] != groups[j] and (sides is None or sides[i] or sides[j]) and self.linked(i, j):
                         found.append((i, j))
                         groups[groups == groups[j]] = groups[i]
         return found
@@ -319,10 +324,21 @@ def _linked(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return arrow_map(rows.repartition(*places).sortWithinPartitions(*places), work, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, root: str | None = None) -> DataFrame:
-    """(id_col, n_shingles, component_id), one row for each row of ``docs``; component_id: the smallest id connected by links."""
-    spark = docs.sparkSession
-    root = root or shared_dir(spark)
+def _chunks(members: DataFrame, task_shingles: int) -> DataFrame:
+    """``members`` (g, n, node, ..) with ``chunk``: its number in a deal of the group, ordered by n, into chunks of about so many shingles.
+
+    A set's place among those of its size is chosen by a hash, so no group is sorted in one task.
+    """
+    sizes = members.groupBy("g", "n").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("g").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("g").alias("g2"), F.col("n").alias("n2"), "c", F.coalesce(F.sum(F.col("n") * F.col("c")).over(before), F.lit(0)).alias("before"))
+    placed = members.join(sizes, (F.col("g") == F.col("g2")) & (F.col("n") == F.col("n2")))
+    at = F.col("before") + F.pmod(F.xxhash64("node"), F.col("n") * F.col("c"))
+    return placed.select(*members.columns, F.floor(at / task_shingles).alias("chunk"))
+
+
+def _connected(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, task_shingles: int, root: str) -> tuple[DataFrame, DataFrame]:
+    """(id, node, n) of every row, and (node, root) of the sets that links connect, by the smallest of them."""
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = pair.where("id IS NOT NULL")
     table = written(_table(pair, width), root, "sets")
@@ -330,47 +346,90 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
 
     ids = table.where("id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     members = written(near.join(ids, "node").select("node", F.col("root").alias("g"), "id", "n"), root, "members")
-    total = members.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("total") / task_shingles))
+    total = members.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("size")).withColumn("chunks", F.floor((F.col("total") - 1) / task_shingles) + 1)
     total = written(total, root, "groups")
-    large = total.where("chunks > 1")
     few = members.count() <= BROADCAST_ROWS
     texts = lambda m: pair.join(F.broadcast(m) if few else m, "id")
 
-    chunked = members.join(total, "g").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    is_hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(F.lit(1), "node"), F.col("size")) < HUBS)
-    first = texts(chunked.select("g", "node", "id", "chunk", F.when(is_hub, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk")).alias("to")))
+    all_ = members.join(total, "g")
+    whole = all_.where("chunks = 1").select("g", "node", "id", F.array(F.lit(0).cast("long")).alias("to"))
+    large = written(_chunks(all_.where("chunks > 1"), task_shingles), root, "large")
+    is_hub = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("size")) < HUBS
+    dealt = large.select("g", "node", "id", F.when(is_hub, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk")).alias("to"))
+    first = texts(whole.union(dealt))
     first = first.select(F.col("g").alias("task1"), F.explode("to").alias("task2"), "node", F.col("node").alias("known"), F.lit(0).alias("side"), "text")
     links = written(_linked(first, width, percent), root, "links")
     found = components(links, root, "found")
 
     if large.limit(1).count():
-        spread = members.join(large, "g").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = spread.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g")
-        other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: c != F.col("chunk"))
-        rest = spread.join(open_, "g").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).select("g", "node", "id", "root", "chunk", other.alias("to"))
-        rest = texts(rest).select("g", "node", "root", "chunk", F.explode("to").alias("other"), "text")
-        low = F.least("chunk", "other")
-        rest = rest.select(F.col("g").alias("task1"), low.alias("task2"), F.greatest("chunk", "other").alias("task3"), "node", F.col("root").alias("known"), (F.col("chunk") != low).cast("int").alias("side"), "text")
+        spread = written(large.join(found, "node", "left").select("g", "node", "id", "n", "chunk", F.coalesce("root", "node").alias("root")), root, "spread")
+        parts = spread.groupBy("g", "root").agg(F.count("*").alias("c"))
+        main = written(parts.groupBy("g").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("g", F.col("most.root").alias("main")), root, "main")
+        open_ = spread.join(main, "g")
+        probes = written(_chunks(open_.where("root <> main").drop("chunk"), task_shingles).withColumnRenamed("chunk", "probe"), root, "probes")
+        span = [F.min("n").alias("low"), F.max("n").alias("high")]
+        left = probes.groupBy("g", "probe").agg(*span)
+        right = open_.groupBy("g", "chunk").agg(*span).select(F.col("g").alias("g2"), "chunk", F.col("low").alias("low2"), F.col("high").alias("high2"))
+        meet = (F.col("g") == F.col("g2")) & (100 * F.col("high") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low"))
+        pairs = written(left.join(right, meet).select("g", "probe", "chunk"), root, "pairs")
+        # every member with the tasks (probe, chunk) that it goes to, on the side of the probes, of the chunks or both
+        as_probe = probes.join(pairs, ["g", "probe"]).select("g", "node", "id", "root", "probe", "chunk", F.lit(1).alias("side"))
+        as_chunk = open_.join(pairs, ["g", "chunk"]).select("g", "node", "id", "root", "probe", "chunk", F.lit(0).alias("side"))
+        tasks = as_probe.union(as_chunk).groupBy("g", "node", "id", "root", "probe", "chunk").agg(F.max("side").alias("side"))
+        tasks = tasks.groupBy("g", "node", "id", "root").agg(F.collect_list(F.struct("probe", "chunk", "side")).alias("to"))
+        rest = texts(tasks).select("g", "node", "root", F.explode("to").alias("to"), "text")
+        rest = rest.select(F.col("g").alias("task1"), F.col("to.probe").alias("task2"), F.col("to.chunk").alias("task3"), "node", F.col("root").alias("known"), F.col("to.side").alias("side"), "text")
         more = written(_linked(rest, width, percent), root, "more")
         # what ``rest`` knew as connected are links as well
         found = components(more.union(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), root, "all")
+    return table, found
+
 
-    least = found.join(ids, "node").groupBy("root").agg(F.min("id").alias("least"))
-    named_least = ids.join(found, "node", "left").join(least, "root", "left").select("node", F.coalesce("least", "id").alias("least"))
-    done = table.join(named_least, "node", "left")
+def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES, root: str | None = None) -> DataFrame:
+    """(id_col, n_shingles, component_id), one row for each row of ``docs``; component_id: the smallest id connected by links."""
+    root = root or shared_dir(docs.sparkSession)
+    table, found = _connected(docs, width, percent, id_col, text_col, task_shingles, root)
+    ids = table.where("id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
+    placed = written(ids.join(found, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), root, "placed")
+    least = written(placed.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1").select("root", "least"), root, "least")
+    named_least = placed.join(least, "root", "left").select("node", F.coalesce("least", "id").alias("least"))
+    done = table.where("node IS NOT NULL").join(named_least, "node", "left").select("id", "n", "least")
+    done = done.union(table.where("node IS NULL").select("id", "n", F.lit(None).cast("long")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are alone or have the smallest id of their component; of rows with one id, one stays.
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", task_shingles: int = TASK_SHINGLES) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of every component one row stays, that with the smallest id.
 
-    Rows without id stay.
+    Rows are told apart by id and set of shingles, so rows that share an id but are
+    not alike stay. Of a component's rows with the smallest id the one with the least
+    set key stays, and of rows equal in both the least by text, then by all columns.
+    Rows without id, and texts without a word, stay.
     """
-    groups = similar_groups(docs, width, percent, id_col, text_col)
-    out = groups.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_out")).distinct()
-    kept = docs.join(out, docs[id_col] == out["_out"], "left_anti")
-    again = groups.where(f"{id_col} IS NOT NULL").groupBy(id_col).count().where("count > 1").limit(1).count()
-    if not again:
+    root = shared_dir(docs.sparkSession)
+    table, found = _connected(docs, width, percent, id_col, text_col, task_shingles, root)
+    rows = table.where("id IS NOT NULL AND node IS NOT NULL").select("id", "node").distinct()
+    placed = written(rows.join(found, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")), root, "placed")
+    firsts = written(placed.groupBy("root").agg(F.min(F.struct("id", "node")).alias("x")).select("x.id", "x.node"), root, "firsts")
+    by_id = table.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows"), F.min("node").alias("node"))
+    out = by_id.where("rows = 1 AND node IS NOT NULL").join(firsts, ["id", "node"], "left_anti").select("id")
+    again = written(by_id.where("rows > 1").select("id"), root, "again")
+    gone = written(out.union(again).select(F.col("id").alias("_gone")), root, "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    if not again.limit(1).count():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row")).join(again, "id", "left_semi")
+    schema = StructType(list(packed.schema.fields)).add("node", "long")
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(texts_of(batch, 1), width)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], names=schema.names)
+
+    shared = arrow_map(packed, key, schema)
+    least = F.min_by("row", F.struct(F.coalesce("text", F.lit("")), F.to_json("row")))
+    ones = shared.where("node IS NOT NULL").join(firsts, ["id", "node"], "left_semi").groupBy("id", "node").agg(least.alias("row")).select("row")
+    return kept.union(ones.union(shared.where("node IS NULL").select("row")).select("row.*"))
