@@ -114,22 +114,24 @@ FROM b
 
 _OP6 = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '< |im_') AS text
+  SELECT DISTINCT conv_id, turn, regexp_replace(replace(coalesce(role, 'unknown'), '<|im_', '< |im_'), '[ \t\n\v\f\r]+', ' ', 'g') AS role,
+         replace(coalesce(text, ''), '<|im_', '< |im_') AS text
   FROM conversations),
 p AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM t WHERE role <> 'system'),
+n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1) AS i FROM t),
 b AS (
-  SELECT conv_id, perspective, (turn // 64) || '.0' AS part, turn, role, text, role = perspective AS own,
+  SELECT conv_id, perspective, i // 512 AS part, i, role, text, role = perspective AS own,
          CASE WHEN role = perspective THEN '<|im_start|>assistant' || chr(10)
               WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
               ELSE '<|im_start|>user name=' || role || chr(10) END AS head
-  FROM t JOIN p ON conv_id = c),
+  FROM n JOIN p ON conv_id IS NOT DISTINCT FROM c),
 s AS (
   SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (
-           PARTITION BY conv_id, perspective, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+           PARTITION BY conv_id, perspective, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
   FROM b)
-SELECT conv_id, perspective, part, count(*) AS n_turns,
-       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text,
-       coalesce(string_agg((begins + length(head))::BIGINT || ':' || (begins + length(head) + length(text) + 10)::BIGINT, ',' ORDER BY turn, role, text) FILTER (WHERE own), '') AS spans
+SELECT conv_id, perspective, part::BIGINT AS part, count(*) AS n_turns,
+       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY i) AS text,
+       coalesce(string_agg((begins + length(head))::BIGINT || ':' || (begins + length(head) + length(text) + 10)::BIGINT, ',' ORDER BY i) FILTER (WHERE own), '') AS spans
 FROM s GROUP BY ALL
 """
 
