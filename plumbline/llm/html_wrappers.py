@@ -1,25 +1,38 @@
 """HTML extraction with wrappers inferred per host, as regular expressions without unions.
 
-A page is read into a tree of blocks (tolerant of unclosed and misplaced tags) and
-that into a wrapper of its own: neighbouring blocks of one kind are a repeated
-group, every run of text is a text with its value. Two wrappers of a host are
-aligned child by child along their longest common subsequence: texts that differ
-become slots, children that only one side has become optional groups (their count
-stays below their parent's). Folding all pages of a host so gives its wrapper;
-tasks fold what they read, and partial wrappers are folded by host in two steps,
-so a host with most of the pages takes no single task, nor memory beyond a wrapper.
-
-A page is then aligned with its host's wrapper. The main text is that of the
-article: the largest ``article``, else the largest element marked as main content,
-else the element that holds most of the text, without menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments, which tags, roles,
-classes and ids tell, and without texts that are the host's: those the wrapper
-holds as a constant of ``min_pages`` pages or more. If nothing but constants is
-left, they stay (all pages of the host are then copies); if classes and ids leave
-nothing, only elements tell what is aside.
+A page is a stream of tokens: tags and runs of text. A tag and what it holds is a
+group, which is one token of the stream around it and a stream itself. Kinds of tokens
+that recur in a stream are a repeated group: from the first to the last of them the
+stream is ``(kind kind ..)+``, and their contents are one stream. Pages of a host are
+aligned stream by stream along longest common subsequences: texts that differ become
+slots, tokens that only one side has become optional (their count stays below that of
+the group around them). Folding all structures of a host gives its wrapper.
+
+The same pages give the same wrapper, however they are dealt: tasks count each
+structure of a host (counts, least and greatest digests and sizes of its texts, which
+add up in any order); structures are then folded in order of their digests, first
+those with the same beginning of the digest, then these parts in order. A host with
+most of the pages so takes no single task, nor memory beyond its structures.
+
+A page is then aligned with its host's wrapper. What a block weighs is the size of the
+slots in its place over all pages of the host; constants weigh nothing. Where no text
+of the host differs (one page, or copies of one), its own text weighs.
+
+- The article is what the page's tags propose (all outermost ``article``, else main
+  content) if that holds at least half of the weight outside of menus, forms and the
+  like; else, from the top, the block that holds four fifths of the weight of the one
+  around it, and so on down to blocks of text. Of proposals some of which weigh
+  something, those that weigh nothing are no article.
+- Nothing of the article is left out but elements that are no text of it (``aside``,
+  ``nav``, ``form``, scripts ..) and blocks that a class, id or role names such: one of
+  ``ASIDE``, alone or with words that only say where or what kind of block (``ad``,
+  ``sidebar-left``, ``related-posts``, but not ``related-work``). If nothing is left,
+  only elements count, on the whole page.
 
 Defined results: null or empty html gives the empty text; a null url is a host of
 its own; repeated rows are extracted one by one; unknown entities stay as written.
+Pages of any size and depth are taken whole; other columns, whatever their names,
+take no part.
 """
 
 from __future__ import annotations
@@ -28,9 +41,8 @@ import hashlib
 import html as _html
 import json
 import re
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,25 +51,33 @@ from pyspark.sql.types import StructType
 
 from plumbline.llm._batches import arrow_map, texts_of
 from plumbline.llm._shared import shared_dir, written
+from plumbline.llm.alignment import common
 
-#: A constant of at least so many pages is the host's.
-MIN_PAGES = 5
-#: A wrapper takes up no further optional groups beyond so many nodes; texts outside it are judged by their page alone.
-MOST_NODES = 4000
-#: Blocks nested deeper belong to their ancestor at this depth.
-DEEPEST = 100
 #: Wrappers up to this size in all are broadcast; beyond, pages are joined with them.
 BROADCAST_BYTES = 8_000_000
+#: Parts in which a host's structures are folded, and shares in which its pages are joined with its wrapper.
+PARTS, SHARES = 64, 32
+#: Structures that a task holds before it sends them on.
+HELD = 2000
 
 # Element names of the HTML standard by their roles here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("aside button footer form head iframe nav noscript object script select style svg template textarea title video audio canvas dialog".split())
 RAW = "script|style|textarea|title|noscript|template|iframe|svg"
-#: A start tag of the first closes an open one of the second.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: What an implied end does not reach beyond.
-BARRIERS = frozenset("article aside body div dl footer form header html main nav ol section table td th ul blockquote".split())
+#: Blocks of text, which are not searched for the article; tables are, as far as a cell of theirs holds blocks.
+TEXTUAL = frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre ul".split())
+TABLE = frozenset("table tbody td tfoot th thead tr".split())
+_SCOPE = frozenset("article aside body div dl footer form header html main nav ol section table td th ul blockquote".split())
+#: A start tag closes open elements of the first kinds that are inside the innermost open one of the second kinds.
+CLOSES = {
+    "li": (frozenset({"li"}), frozenset({"ul", "ol", "table"})),
+    "dt": (frozenset({"dt", "dd"}), frozenset({"dl", "table"})),
+    "dd": (frozenset({"dt", "dd"}), frozenset({"dl", "table"})),
+    "tr": (frozenset({"tr", "td", "th"}), frozenset({"table"})),
+    "td": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
+    "th": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
+}
 
 _TOKEN = re.compile(
     rf"<(?:!--|(?P<raw>{RAW})\b[^>]*>).*?(?:(?P<closed>(?(raw)</(?P=raw)\s*>|-->))|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*)|[^>]*)>",
@@ -66,8 +86,6 @@ _TOKEN = re.compile(
 _CUT_TAG = re.compile(r"<[a-zA-Z/!][^<]*\Z")
 _MARK = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
-#: Such as ``has-sidebar``: what a block has, or has not, it is not.
-_ABOUT = re.compile(r"\b(?:has|no|not|with|without)[-_][a-z]+")
 # Words in classes, ids and roles that name what is not the article.
 ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -76,32 +94,49 @@ ASIDE = frozenset(
 )
 #: Such words mark the article instead.
 MAIN = frozenset("article articlebody post entry story main content maincontent".split())
+#: Words that only say where or what kind of block.
+GENERIC = frozenset("area bar block body box bottom btn button buttons container group inner items left links list outer page panel posts articles right row section site slot top unit wrap wrapper".split())
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)")
+_LIKE_ARTICLE = frozenset({"article", "main"})
+#: Such words say that an ``article`` is none.
+NO_ARTICLE = frozenset("ad ads advert advertisement comment comments related".split())
 
 
 class Block:
-    """An element that breaks lines; ``parts``: blocks and strings (runs of inline text, entities decoded) in order."""
+    """A tag that breaks lines and what it holds: ``parts`` are blocks and runs of inline text (entities decoded) in order."""
 
-    __slots__ = ("constant", "depth", "key", "marks", "name", "parts")
+    __slots__ = ("aside", "holds", "inside", "key", "marks", "name", "parent", "parts", "weight")
 
-    def __init__(self, name: str, marks: frozenset[str], key: str, depth: int):
-        self.name, self.marks, self.key, self.depth = name, marks, key, depth
+    def __init__(self, name: str, marks: tuple[str, ...], key: str, parent: Block | None):
+        self.name, self.marks, self.key, self.parent = name, marks, key, parent
         self.parts: list[Block | str] = []
-        self.constant: set[int] = set()  # places in ``parts`` that the host's wrapper holds as constants
+        self.weight: int = 0  # of what is in it and not aside
 
 
-def _tag(name: str, rest: str) -> tuple[frozenset[str], str]:
-    """The words of a tag's marks, and its name in wrappers (digits left out: they number items)."""
-    found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _MARK.finditer(rest)] if "=" in rest else []
-    words = frozenset(w for _, value in found for w in _WORDS.findall(_ABOUT.sub(" ", value)))
-    return words, f"{name}.{'.'.join(sorted(words))}" if words else name
+def _tag(name: str, rest: str) -> tuple[tuple[str, ...], str]:
+    """The classes, ids and roles of a tag, and the kind of its tokens (digits left out: they number items)."""
+    if "=" not in rest:
+        return (), name
+    marks = tuple(w for m in _MARK.finditer(rest) for w in (m[2] or m[3] or m[4] or "").lower().split())
+    kind = sorted({"-".join(_WORDS.findall(w)) for w in marks})
+    return marks, f"{name}.{'.'.join(kind)}" if marks else name
 
 
-def parse(page: str) -> Block:
-    """The page's blocks under a root."""
-    root = Block("", frozenset(), "", 0)
-    stack: list[tuple[str, Block]] = [("", root)]  # open elements that break lines, and the block that takes their text
-    opened: Counter[str] = Counter()
+def names_one_of(marks: tuple[str, ...], words: frozenset[str]) -> bool:
+    """Whether one of ``marks`` is made of ``words``, and apart from them of words that only say where or what kind of block."""
+    for mark in marks:
+        parts = _WORDS.findall(mark)
+        if any(p in words for p in parts) and all(p in words or p in GENERIC for p in parts):
+            return True
+    return False
+
+
+def parse(page: str) -> list[Block]:
+    """The page's blocks, the root first, each before those it holds."""
+    blocks = [Block("", (), "", None)]
+    stack: list[tuple[str, Block]] = [("", blocks[0])]  # open elements that break lines
+    opened: dict[str, list[int]] = {}  # the places in the stack of each name
+    scopes: list[int] = []  # the places in the stack that an open p does not reach beyond
     run: list[str] = []
 
     def close_run() -> None:
@@ -113,8 +148,13 @@ def parse(page: str) -> Block:
 
     def pop_to(at: int) -> None:
         close_run()
-        opened.subtract(name for name, _ in stack[at:])
-        del stack[at:]
+        while len(stack) > at:
+            opened[stack.pop()[0]].pop()
+        while scopes and scopes[-1] >= at:
+            scopes.pop()
+
+    def last(names: frozenset[str]) -> int:
+        return max((opened[x][-1] for x in names if opened.get(x)), default=0)
 
     at, end, cut = 0, page.rfind(">") + 1, False  # behind the last > there is no tag, and no search for its end
     for m in _TOKEN.finditer(page, 0, end):
@@ -129,227 +169,334 @@ def parse(page: str) -> Block:
         elif name in VOID:
             close_run()
         elif m["end"]:
-            if opened[name] > 0:
-                pop_to(max(k for k in range(len(stack)) if stack[k][0] == name) if stack[-1][0] != name else len(stack) - 1)
+            if opened.get(name):
+                pop_to(opened[name][-1])
             else:
                 close_run()
         else:
-            closing = CLOSES.get(name, set()) | {"p"}
-            for k in range(len(stack) - 1, max(0, len(stack) - DEEPEST), -1):
-                if stack[k][0] in closing:
-                    pop_to(k)
-                    break
-                if stack[k][0] in BARRIERS:
-                    break
+            if opened.get("p") and opened["p"][-1] > (scopes[-1] if scopes else 0):
+                pop_to(opened["p"][bisect_right(opened["p"], scopes[-1] if scopes else 0)])
+            if name in CLOSES:
+                names, scope = CLOSES[name]
+                floor = last(scope)
+                inside = [opened[x][k] for x in names if opened.get(x) and (k := bisect_right(opened[x], floor)) < len(opened[x])]
+                if inside:
+                    pop_to(min(inside))
             close_run()
-            parent = stack[-1][1]
-            if parent.depth < DEEPEST:
-                marks, key = _tag(name, m["rest"])
-                block = Block(name, marks, key, parent.depth + 1)
-                parent.parts.append(block)
-            else:
-                block = parent
+            marks, key = _tag(name, m["rest"])
+            block = Block(name, marks, key, stack[-1][1])
+            block.parent.parts.append(block)
+            blocks.append(block)
+            opened.setdefault(name, []).append(len(stack))
+            if name in _SCOPE:
+                scopes.append(len(stack))
             stack.append((name, block))
-            opened[name] += 1
     if not cut:  # an unclosed script or comment goes on to the end; a tag that the end cuts off is no text
         run.append(_CUT_TAG.sub("", page[at:]))
     close_run()
-    return root
+    for b in blocks:
+        b.holds = 0
+    for b in reversed(blocks):
+        if b.parent is not None:
+            b.parent.holds += b.holds + (b.name in _LIKE_ARTICLE and not names_one_of(b.marks, NO_ARTICLE))
+    return blocks
 
 
-# Wrappers are lists [key, count, repeated, value, children]; texts have the key "#" and a value, None for a slot.
+class Token:
+    """A token of a wrapper: a kind of group with its stream, or of text (kind ``#``), with what is known of it from ``pages`` pages."""
 
+    __slots__ = ("chars", "high", "kind", "low", "pages", "repeated", "stream", "weight")
 
-def _digest(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=9).hexdigest()
+    def __init__(self, kind: str, pages: int = 1, repeated: bool = False, low: str = "", high: str = "", chars: int = 0):
+        self.kind, self.pages, self.repeated = kind, pages, repeated
+        self.low, self.high, self.chars = low, high, chars  # the least and greatest digest of the texts, and their size
+        self.stream: list[Token] = []
 
 
-def _once(w: list) -> list:
-    """The wrapper as that of one page, however often its group recurs there."""
-    return [w[0], 1, w[2], w[3], [_once(c) for c in w[4]]]
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=9).hexdigest()
 
 
-def own_wrapper(block: Block) -> list:
-    """The wrapper of one page's block."""
-    children: list[list] = []
-    for part in block.parts:
-        child = ["#", 1, False, _digest(part), []] if isinstance(part, str) else own_wrapper(part)
-        if children and children[-1][0] == child[0]:
-            children[-1] = _once(merged(children[-1], child))
-            children[-1][2] = True
-        else:
-            children.append(child)
-    return [block.key, 1, False, None, children]
-
-
-def _aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    if a == b:
-        return [(i, i) for i in range(len(a))]
-    return [(m.a + k, m.b + k) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for k in range(m.size)]
-
-
-def merged(a: list, b: list, room: list[int] | None = None) -> list:
-    """The wrapper of both sides' pages."""
-    if a[0] == "#":
-        return ["#", a[1] + b[1], a[2] or b[2], a[3] if a[3] == b[3] else None, []]
-    room = [MOST_NODES - _nodes(a)] if room is None else room
-    children, i, j = [], 0, 0
-    for x, y in [*_aligned([c[0] for c in a[4]], [c[0] for c in b[4]]), (len(a[4]), len(b[4]))]:
-        children += a[4][i:x]
-        for extra in b[4][j:y]:
-            if (n := _nodes(extra)) <= room[0]:
-                room[0] -= n
-                children.append(extra)
-        if x < len(a[4]):
-            children.append(merged(a[4][x], b[4][y], room))
-        i, j = x + 1, y + 1
-    return [a[0], a[1] + b[1], a[2] or b[2], None, children]
-
-
-def _nodes(w: list) -> int:
-    return 1 + sum(map(_nodes, w[4]))
-
-
-def mark_constants(block: Block, wrapper: list, min_pages: int) -> None:
-    """Notes in the page's blocks which texts the wrapper holds as constants."""
-    groups: list[tuple[str, list[int]]] = []
-    for i, part in enumerate(block.parts):
-        key = "#" if isinstance(part, str) else part.key
-        if groups and groups[-1][0] == key:
-            groups[-1][1].append(i)
-        else:
-            groups.append((key, [i]))
-    for x, y in _aligned([k for k, _ in groups], [c[0] for c in wrapper[4]]):
-        other = wrapper[4][y]
-        for i in groups[x][1]:
-            part = block.parts[i]
-            if not isinstance(part, str):
-                mark_constants(part, other, min_pages)
-            elif other[1] >= min_pages and other[3] is not None and other[3] == _digest(part):
-                block.constant.add(i)
+def streams(parts: list[Block | str]) -> list[tuple[str, bool, list[Block | str]]]:
+    """(kind, whether in a repeated group, the parts) of a stream in order: each kind once, recurring ones as repeated groups."""
+    first: dict[str, int] = {}
+    last: dict[str, int] = {}
+    found: dict[str, list[Block | str]] = {}
+    for i, p in enumerate(parts):
+        kind = "#" if isinstance(p, str) else p.key
+        first.setdefault(kind, i)
+        last[kind] = i
+        found.setdefault(kind, []).append(p)
+    out, reach = [], -1
+    for kind in found:  # in order of first occurrence
+        if last[kind] > first[kind]:
+            reach = max(reach, last[kind])
+        out.append((kind, first[kind] <= reach, found[kind]))
+    return out
 
 
-def _inside(block: Block, names: frozenset[str], marks: frozenset[str] = frozenset()) -> bool:
-    return any(not isinstance(p, str) and (p.name in names or p.marks & marks or _inside(p, names, marks)) for p in block.parts)
+def own_wrapper(blocks: list[Block]) -> Token:
+    """The wrapper of one page."""
+    top = Token("")
+    stack: list[tuple[Token, list[Block | str]]] = [(top, blocks[0].parts)]
+    while stack:
+        token, parts = stack.pop()
+        for kind, repeated, some in streams(parts):
+            if kind == "#":
+                value = digest("\n".join(some))
+                token.stream.append(Token(kind, 1, repeated, value, value, sum(map(len, some))))
+            else:
+                child = Token(kind, 1, repeated)
+                token.stream.append(child)
+                stack.append((child, [p for b in some for p in b.parts]))
+    return top
+
+
+def merge(a: Token, b: Token) -> None:
+    """Makes ``a`` the wrapper of both sides' pages."""
+    stack = [(a, b)]
+    while stack:
+        a, b = stack.pop()
+        a.repeated |= b.repeated
+        a.pages += b.pages
+        a.chars += b.chars
+        if a.kind == "#":
+            a.low, a.high = min(a.low, b.low), max(a.high, b.high)
+        out, i, j = [], 0, 0
+        pairs = common([t.kind for t in a.stream], [t.kind for t in b.stream])
+        for x, y in [*pairs, (len(a.stream), len(b.stream))]:
+            out += a.stream[i:x] + b.stream[j:y]
+            if x < len(a.stream):
+                out.append(a.stream[x])
+                stack.append((a.stream[x], b.stream[y]))
+            i, j = x + 1, y + 1
+        a.stream = out
+
+
+def flat(top: Token, counts: bool = True) -> str:
+    """The wrapper as JSON, a row for each token with its depth; without ``counts``: its structure alone."""
+    out, stack = [], [(top, 0)]
+    while stack:
+        t, depth = stack.pop()
+        out.append([depth, t.kind, t.repeated, *([t.pages, t.low, t.high, t.chars] if counts else [])])
+        stack += [(c, depth + 1) for c in reversed(t.stream)]
+    return json.dumps(out, separators=(",", ":"))
+
+
+def unflat(text: str) -> Token:
+    path: list[Token] = []
+    for depth, kind, repeated, pages, low, high, chars in json.loads(text):
+        t = Token(kind, pages, repeated, low, high, chars)
+        del path[depth:]
+        if path:
+            path[-1].stream.append(t)
+        path.append(t)
+    return path[0]
+
+
+def weighed(top: Token) -> Token:
+    """``top`` with the weights of its tokens: the size of the slots in them."""
+    order, stack = [], [top]
+    while stack:
+        t = stack.pop()
+        order.append(t)
+        stack += t.stream
+    for t in reversed(order):
+        t.weight = sum(c.weight for c in t.stream) + (t.chars if t.kind == "#" and t.low != t.high else 0)
+    return top
+
+
+def _is_aside(b: Block, by_marks: bool, articles: int) -> bool:
+    """Whether a block is none of the article's; ``articles``: how many ``article`` and ``main`` the page has."""
+    if b.name in ("", "html", "body", "main") or b.holds and b.holds == articles:
+        return False  # what holds them all is around the article
+    if b.name in DROPPED:
+        return True
+    if not by_marks:
+        return False
+    if b.name == "article":
+        return names_one_of(b.marks, NO_ARTICLE)
+    if b.name == "header" or names_one_of(b.marks, frozenset({"header"})):
+        return not b.inside
+    return names_one_of(b.marks, ASIDE)
+
+
+def weigh(blocks: list[Block], wrapper: Token | None, by_marks: bool = True) -> bool:
+    """Notes in the page's blocks what is aside, and what the rest weighs; whether the host's slots told the weights."""
+    for b in blocks:
+        b.inside = b.parent is not None and (b.parent.inside or b.parent.name == "article")
+        b.aside = b.parent is not None and b.parent.aside or _is_aside(b, by_marks, blocks[0].holds)
+        b.weight = 0
+    if wrapper is not None and wrapper.weight:
+        stack: list[tuple[Token, list[Block | str], list[Block]]] = [(wrapper, blocks[0].parts, [blocks[0]])]
+        while stack:
+            token, parts, holders = stack.pop()
+            groups = streams(parts)
+            for x, y in common([g[0] for g in groups], [t.kind for t in token.stream]):
+                other = token.stream[y]
+                if groups[x][0] != "#":
+                    some = groups[x][2]
+                    stack.append((other, [p for b in some for p in b.parts], some))
+                elif other.weight:
+                    own = [(b, sum(len(p) for p in b.parts if isinstance(p, str))) for b in holders if not b.aside]
+                    total = sum(n for _, n in own)
+                    for b, n in own:  # a slot's weight goes to the page's blocks by what each has of the text
+                        b.weight += other.weight * n // max(1, total)
+    told = any(b.weight for b in blocks)
+    if not told:
+        for b in blocks:
+            b.weight = 0 if b.aside else sum(len(p) for p in b.parts if isinstance(p, str))
+    for b in reversed(blocks):
+        if b.parent is not None:
+            b.parent.weight += b.weight
+    return told
+
+
+def _proposed(blocks: list[Block]) -> list[Block]:
+    """The outermost blocks that tags or marks say are the article."""
+    for test in (lambda b: b.name == "article", lambda b: b.name == "main" or "articlebody" in b.marks, lambda b: b.name not in TEXTUAL | TABLE and b.name not in ("html", "body") and names_one_of(b.marks, MAIN)):
+        found: list[Block] = []
+        within: set[int] = set()
+        for b in blocks:
+            if id(b.parent) in within:
+                within.add(id(b))
+            elif not b.aside and test(b):
+                within.add(id(b))
+                if texts(b):
+                    found.append(b)
+        if found:
+            return found
+    return []
+
+
+def article(blocks: list[Block], told: bool) -> list[Block]:
+    """The blocks that hold the article; ``told``: by slots of the host, not by this page alone."""
+    top = blocks[0]
+    proposed = _proposed(blocks)
+    heavy = [b for b in proposed if b.weight] or proposed
+    if heavy and (not told or 2 * sum(b.weight for b in heavy) >= top.weight):
+        return heavy
+    block = found = top
+    while True:
+        inner = [p for p in block.parts if not isinstance(p, str) and not p.aside and p.name not in TEXTUAL]
+        most = max(inner, key=lambda b: b.weight, default=None)
+        if most is None or not most.weight or 5 * most.weight < 4 * block.weight:
+            return [found]
+        block = most
+        if block.name not in TABLE or block.name == "td" and any(not isinstance(p, str) for p in block.parts):
+            found = block
+
+
+def texts(block: Block) -> list[str]:
+    """The block's texts in page order, without what is aside."""
+    out: list[str] = []
+    stack: list[Block | str] = [block]
+    while stack:
+        p = stack.pop()
+        if isinstance(p, str):
+            out.append(p)
+        elif not p.aside:
+            stack += reversed(p.parts)
+    return out
 
 
-_ARTICLE = frozenset({"article", "main"})
-_KEPT = frozenset({"", "html", "body", "article", "main"})
+def main_text(page: str, wrapper: Token | None = None) -> str:
+    blocks = parse(page)
+    told = weigh(blocks, wrapper)
+    found = [t for b in article(blocks, told) for t in texts(b)]
+    if not found:
+        weigh(blocks, wrapper, by_marks=False)
+        found = texts(blocks[0])
+    return "\n".join(found)
 
 
-def is_aside(block: Block, within: bool | None) -> bool:
-    """Whether a block is none of the article's; ``within``: it stands in the article; None: only elements tell, not their marks."""
-    if block.name in DROPPED:
-        return True
-    if within is None:
-        return False
-    if block.name == "header" and not within:
-        return not _inside(block, _ARTICLE)
-    if block.name in _KEPT and not (block.name == "article" and block.marks & {"comment", "comments"}):
-        return False
-    found = block.marks & ASIDE
-    if within:
-        found -= {"header"}
-    return bool(found) and not _inside(block, _ARTICLE)
-
-
-def texts(block: Block, within: bool | None, constants: bool) -> list[str]:
-    """The block's texts in page order, without what is aside and, unless asked for, without constants."""
-    out = []
-    for i, part in enumerate(block.parts):
-        if isinstance(part, str):
-            if constants or i not in block.constant:
-                out.append(part)
-        elif not is_aside(part, within):
-            out += texts(part, within, constants)
-    return out
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_CASE = str.maketrans(_UPPER, _LOWER)
 
 
-def _size(block: Block, within: bool = True) -> int:
-    return sum(map(len, texts(block, within, True)))
+def host_of(url: str | None) -> str:
+    m = _HOST.match(url or "")
+    return m[1].translate(_CASE) if m else ""
 
 
-def _all(block: Block, test) -> list[Block]:
-    """The outermost blocks that pass, none of them aside."""
-    out = []
-    for part in block.parts:
-        if not isinstance(part, str) and not is_aside(part, False):
-            out += [part] if test(part) else _all(part, test)
-    return out
+_KIND = "host string, part int, digest string, wrapper string"
 
 
-def main_block(root: Block) -> tuple[Block, bool]:
-    """The block that holds the article, and whether the page marks it as such."""
-    for test in (lambda b: b.name == "article", lambda b: b.name == "main" or "articlebody" in b.marks, lambda b: bool(b.marks & MAIN)):
-        if found := [b for b in _all(root, test) if _size(b)]:
-            return max(found, key=_size), True
-    block = root
-    while True:
-        parts = [p for p in block.parts if not isinstance(p, str) and not is_aside(p, False)]
-        most = max(parts, key=lambda b: _size(b, False), default=None)
-        if most is None or most.name == "p" or 5 * _size(most, False) < 4 * _size(block, False):
-            return block, False
-        block = most
+def _batch(rows: list[tuple[str, int, str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))], names=["host", "part", "digest", "wrapper"])
 
 
-def main_text(page: str, wrapper: list | None = None, min_pages: int = MIN_PAGES) -> str:
-    root = parse(page)
-    if wrapper:
-        mark_constants(root, wrapper, min_pages)
-    block, marked = main_block(root)
-    return "\n".join(texts(block, marked, False) or texts(block, marked, True) or texts(root, None, True))
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The structures of pages (url, html), counted."""
+    found: dict[tuple[str, str], Token] = {}
 
+    def rows() -> pa.RecordBatch:
+        return _batch([(host, int(d[:4], 16) % PARTS, d, flat(t)) for (host, d), t in found.items()])
 
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
+    for batch in batches:
+        for url, page in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True):
+            if page:
+                own = own_wrapper(parse(page))
+                key = host_of(url), digest(flat(own, counts=False))
+                if key in found:
+                    merge(found[key], own)
+                else:
+                    found[key] = own
+                    if len(found) >= HELD:
+                        yield rows()
+                        found.clear()
+    if found:
+        yield rows()
+
+
+def _fold(batches: Iterator[pa.RecordBatch], parts: bool) -> Iterator[pa.RecordBatch]:
+    """The wrappers of sorted rows of one host, or, with ``parts``, of one part of a host."""
+    key, whole = None, None
+    for batch in batches:
+        for host, part, _, w in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            t = unflat(w)
+            if (host, part if parts else 0) != key:
+                if whole is not None:
+                    yield _batch([(*key, "", flat(whole))])
+                key, whole = (host, part if parts else 0), t
+            else:
+                merge(whole, t)
+    if whole is not None:
+        yield _batch([(*key, "", flat(whole))])
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (host, part, digest) with those of one structure added up."""
+    key, whole = None, None
+    for batch in batches:
+        for host, part, d, w in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (host, part, d) == key:
+                merge(whole, unflat(w))
+            else:
+                if whole is not None:
+                    yield _batch([(*key, flat(whole))])
+                key, whole = (host, part, d), unflat(w)
+    if whole is not None:
+        yield _batch([(*key, flat(whole))])
 
 
 def infer(pages: DataFrame, root: str, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper as JSON) of all pages."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
-        seen: set[bytes] = set()
-        for batch in batches:
-            for url, page in zip(batch.column(0).to_pylist(), texts_of(batch, 1), strict=True):
-                digest = hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                if not page or digest in seen:
-                    continue  # a copy tells nothing new
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(digest)
-                host, own = host_of(url), own_wrapper(parse(page))
-                found[host] = merged(found[host], own) if host in found else own
-                if len(found) > 2000:
-                    yield rows(found)
-                    found = {}
-        if found:
-            yield rows(found)
+    def fold_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _fold(_sum(batches), True)  # structures of one digest first, then in order of digests
 
-    def rows(found: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], names=["host", "wrapper"])
+    def fold_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _fold(batches, False)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, wrapper = None, None
-        for batch in batches:
-            for h, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if h != host:
-                    if wrapper:
-                        yield rows({host: wrapper})
-                    host, wrapper = h, json.loads(w)
-                else:
-                    wrapper = merged(wrapper, json.loads(w))
-        if wrapper:
-            yield rows({host: wrapper})
+    counted = arrow_map(pages.select(url_col, html_col), _read, _KIND)
+    order = ["host", "part", "digest"]
+    folded = arrow_map(counted.repartition("host", "part").sortWithinPartitions(*order), fold_parts, _KIND)
+    hosts = arrow_map(folded.repartition("host").sortWithinPartitions("host", "part"), fold_hosts, _KIND)
+    return written(hosts.select("host", "wrapper"), root, "wrappers")
 
-    kind = "host string, wrapper string"
-    part = arrow_map(pages.select(url_col, html_col), read, kind)
-    half = part.withColumn("salt", F.spark_partition_id() % 64).repartition("host", "salt").sortWithinPartitions("host", "salt").select("host", "wrapper").mapInArrow(fold, kind)
-    return written(half.repartition("host").sortWithinPartitions("host").mapInArrow(fold, kind), root, "wrappers")
 
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url, text, n_chars), one row for each row of ``pages``."""
     spark = pages.sparkSession
     wrappers = infer(pages, shared_dir(spark), url_col, html_col)
@@ -364,28 +511,40 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         known = spark.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.collect()})
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready: dict[str, list | None] = {}
+            ready: dict[str, Token | None] = {}
             for batch in batches:
                 found = []
                 for url, page in zip(batch.column(1).to_pylist(), texts_of(batch, 2), strict=True):
                     host = host_of(url)
                     if host not in ready:
-                        ready[host] = json.loads(known.value[host]) if host in known.value else None
-                    found.append(main_text(page, ready[host], min_pages))
+                        ready[host] = weighed(unflat(known.value[host])) if host in known.value else None
+                    found.append(main_text(page, ready[host]))
                 yield result(batch, found)
 
         return arrow_map(rows, work, schema)
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, wrapper = None, None
+    # Too many wrappers to broadcast: a host's pages, in shares, and a copy of its wrapper for each share meet in a partition, the wrapper first.
+    share = F.pmod(F.xxhash64("url", "html"), F.lit(SHARES)).cast("int")
+    host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1), _UPPER, _LOWER)
+    page_rows = rows.select(*[F.col(c) for c in rows.columns], host.alias("_host"), share.alias("_share"), F.lit(None).cast("string").alias("_wrapper"))
+    for_shares = wrappers.select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema],
+        F.col("host").alias("_host"),
+        F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_share"),
+        F.col("wrapper").alias("_wrapper"),
+    )
+    both = page_rows.union(for_shares).repartition("_host", "_share").sortWithinPartitions("_host", "_share", F.col("_wrapper").isNull())
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, wrapper = None, None
         for batch in batches:
-            found = []
-            for page, w in zip(texts_of(batch, 2), batch.column(3).to_pylist(), strict=True):
-                if w != last:
-                    last, wrapper = w, json.loads(w) if w else None
-                found.append(main_text(page, wrapper, min_pages))
-            yield result(batch, found)
-
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    both = rows.withColumn("_host", host).join(wrappers.withColumnRenamed("host", "_host"), "_host", "left")
-    return arrow_map(both.select(*rows.columns, "wrapper"), joined, schema)
+            found, at = [], []
+            for k, (page, h, w) in enumerate(zip(texts_of(batch, 2), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                if w is not None:
+                    host, wrapper = h, weighed(unflat(w))
+                else:
+                    at.append(k)
+                    found.append(main_text(page, wrapper if h == host else None))
+            yield result(batch.take(pa.array(at, pa.int64())), found)
+
+    return arrow_map(both, meet, schema)
