@@ -6,11 +6,17 @@ on behind it. The method adds ``entropy`` spans: within each candidate (a long
 run of key characters that holds a digit and a letter) a window of fixed width
 slides over every run of one character class, its entropy kept by adding the
 character that enters and taking away the one that leaves. Windows at or above
-the class's threshold are joined to spans. Those that an allow-list entry
-matches, or that meet a base span, are left out.
+the class's threshold are suspect, unless most of one is made of words, as in names
+and paths. Neighbouring ones are joined to spans.
+
+The allow-list is matched against each span and ``MARGIN`` characters on both sides.
+A span that is short (less than ``LONG`` characters beside what is allowed) is
+suppressed by a match; a longer one loses only the windows that the match touches by
+half or more, or that hold it. Spans that meet a base span are left out.
 
 Positions are code points, ends exclusive. A null or empty text has no spans.
 Equal spans of different kinds both count. Repeated rows are scanned one by one.
+Texts of any length are scanned whole; other columns, whatever their names, stay out.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import hashlib
 import math
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,24 +46,32 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 @dataclass(frozen=True)
 class CharClass:
-    """Runs of ``pattern``; a window of ``width`` is suspect from ``bits`` of entropy on if it holds all of ``needs``."""
+    """Runs of ``pattern``; a window of ``width`` is suspect from ``bits`` of entropy on if it holds all of ``needs``.
+
+    Not if more than the share ``words`` of its characters belongs to words (see ``WORDLIKE``).
+    """
 
     pattern: str
     width: int
     bits: float
     needs: tuple[str, ...]
+    words: float = 1.0
 
 
 CLASSES = (
     CharClass("[0-9a-fA-F]+", 20, 3.0, ("[0-9]", "[a-fA-F]")),
     CharClass("[A-Z0-9]+", 20, 3.5, ("[0-9]", "[A-Z]")),
-    CharClass("[A-Za-z0-9+/_-]+", 24, 3.9, ("[0-9]", "[A-Z]", "[a-z]")),
+    CharClass("[A-Za-z0-9+/_-]+", 24, 3.9, ("[0-9]", "[A-Z]", "[a-z]"), 0.4),
 )
 
+#: Three small letters or more, with a capital before them: rare in random strings, most of a name or path.
+WORDLIKE = re.compile(r"[A-Z]?[a-z]{3,}")
+LONG, MARGIN = 36, 16
+
 #: Suppressed: strings marked as examples, identifiers in UUID form, repeated characters, runs of the alphabet.
 ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0000|1234567|abcdef",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"(?<![0-9a-zA-Z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9a-zA-Z])",
     r"(.)\1{5}",
 )
 
@@ -79,12 +94,23 @@ def window_entropies(run: str, width: int) -> list[float]:
     return found
 
 
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
 class Scanner:
     """The spans of a text. ``classes`` and ``allowed`` are the method's parameters."""
 
     def __init__(self, classes: tuple[CharClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED, min_assign: int = 8, min_access: int = 16):
         self.min_assign, self.min_access = min_assign, min_access
-        self.classes = [(re.compile(c.pattern), c.width, c.bits, [re.compile(x) for x in c.needs]) for c in classes]
+        self.classes = [(re.compile(c.pattern), c.width, c.bits, [re.compile(x) for x in c.needs], c.words) for c in classes]
         self.candidate = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % min(c.width for c in classes))
         self.digit, self.letter = re.compile("[0-9]"), re.compile("[A-Za-z]")
         self.allowed = [re.compile(x) for x in allowed]
@@ -100,27 +126,40 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
         return sorted(found)
 
+    def windows(self, text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """The suspect windows of a candidate, sorted, whatever is allowed."""
+        found = []
+        for pattern, width, bits, needs, words in self.classes:
+            for run in pattern.finditer(text, start, end):
+                if run.end() - run.start() < width or not all(p.search(run[0]) for p in needs):
+                    continue
+                within = [0] * (len(run[0]) + 1)  # characters of words before each place
+                if words < 1:
+                    for w in WORDLIKE.finditer(run[0]):
+                        within[w.start() + 1 : w.end() + 1] = [1] * len(w[0])
+                    within = list(accumulate(within))
+                for i, h in enumerate(window_entropies(run[0], width)):
+                    at = run.start() + i
+                    if h >= bits and within[i + width] - within[i] <= words * width and all(p.search(text, at, at + width) for p in needs):
+                        found.append((at, at + width))
+        return sorted(found)
+
     def entropy(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """The method's spans that meet no base span, joined across character classes."""
-        raw: list[list[int]] = []
+        """The method's spans that meet no base span, joined across character classes, without what is allowed."""
+        out: list[tuple[int, int]] = []
         for candidate in self.candidate.finditer(text):
-            if not self.digit.search(candidate[0]) or not self.letter.search(candidate[0]) or any(p.search(candidate[0]) for p in self.allowed):
+            if not self.digit.search(candidate[0]) or not self.letter.search(candidate[0]):
                 continue
-            for pattern, width, bits, needs in self.classes:
-                for run in pattern.finditer(text, candidate.start(), candidate.end()):
-                    if run.end() - run.start() < width or not all(p.search(run[0]) for p in needs):
-                        continue
-                    for i, h in enumerate(window_entropies(run[0], width)):
-                        at = run.start() + i
-                        if h >= bits and all(p.search(text, at, at + width) for p in needs):
-                            raw.append([at, at + width])
-        joined: list[list[int]] = []
-        for start, end in sorted(raw):
-            if joined and start <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], end)
-            else:
-                joined.append([start, end])
-        return [(start, 3, end) for start, end in joined if not any(s < end and start < e for s, _, e in base)]
+            windows = self.windows(text, *candidate.span())
+            for start, end in joined(windows):
+                low, high = max(candidate.start(), start - MARGIN), min(candidate.end(), end + MARGIN)
+                allowed = sorted(m.span() for p in self.allowed for m in p.finditer(text, low, high))
+                if not allowed:
+                    out.append((start, end))
+                elif end - start - sum(max(0, min(y, end) - max(x, start)) for x, y in joined(allowed)) >= LONG:
+                    left = [(x, y) for x, y in windows if start <= x and y <= end and not any(2 * (min(y, n) - max(x, m)) >= min(y - x, 2 * (n - m)) for m, n in allowed)]
+                    out += joined(left)
+        return [(start, 3, end) for start, end in out if not any(s < end and start < e for s, _, e in base)]
 
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans and all spans, both sorted by start, then kind."""

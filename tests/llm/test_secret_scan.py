@@ -47,6 +47,46 @@ def test_entropy_spans_and_the_allow_list():
     assert all(kind != 3 for _, kind, _ in s.spans(text)[1])
 
 
+def test_names_and_paths_are_no_secrets():
+    s = sc.Scanner()
+    for clean in ("Zed/Path2/ComponentNameLongFile/AnotherDirB12/File", "getUserAccountByIdAndName2Factory", "src/main/java/Org/Example1/ServiceFactoryBean", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"):
+        assert s.spans(f"x {clean} y") == ([], [])
+
+
+def test_allowed_parts_suppress_what_is_short_but_not_a_long_key():
+    s, r, n = sc.Scanner(), random.Random(3), 0
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for _ in range(200):
+        key = "".join(r.choice(alphabet) for _ in range(60))
+        if sum(end - start for start, _, end in s.entropy(key, [])) < 50:
+            continue  # few digits: not a key to the windows, with or without neighbours
+        n += 1
+        for text, at in ((key, 0), ("0000" + key, 4), (key + "0000", 0), ("/example/" + key, 9), (key + "-sample", 0)):
+            found = s.entropy(text, [])
+            assert sum(max(0, min(end, at + 60) - max(start, at)) for start, _, end in found) >= 24, text
+        assert s.entropy(key[:26] + "EXAMPLE", []) == []
+    assert n > 150
+
+
+def test_windows_equal_their_definition():
+    """Every window of a candidate by the definition, against the incremental scan."""
+    s, r = sc.Scanner(), random.Random(6)
+    for _ in range(150):
+        text = "".join(r.choice(["a", "B", "7", "f", "Q", "0", "get", "Name", "/", "x9", "ABC", "12"]) for _ in range(r.randint(8, 40)))
+        want = set()
+        for c in sc.CLASSES:
+            for run in re.finditer(c.pattern, text):
+                words = [False] * len(run[0])
+                for w in sc.WORDLIKE.finditer(run[0]):
+                    words[w.start() : w.end()] = [True] * len(w[0])
+                for i in range(len(run[0]) - c.width + 1):
+                    w = run[0][i : i + c.width]
+                    h = -sum(w.count(x) / c.width * math.log2(w.count(x) / c.width) for x in set(w))
+                    if h >= c.bits - 1e-9 and all(re.search(n, w) for n in c.needs) and (c.words == 1 or sum(words[i : i + c.width]) <= c.words * c.width):
+                        want.add((run.start() + i, run.start() + i + c.width))
+        assert set(s.windows(text, 0, len(text))) == want
+
+
 def test_long_runs_take_linear_time():
     assert sc.Scanner().spans("a/" * 500_000 + " 1") == ([], [])
 
