@@ -20,6 +20,7 @@ parts of each source and then of one part, never the source in one task.
 Defined results: a null source is a source of its own; a null id is ordered as the
 text ``null``; sources without tokens are passed over once; null texts have no
 tokens. Repeated rows are rows like others (they share their place in the order).
+Other columns, whatever their names, are carried along. Texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -130,16 +131,17 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def realise(rows: DataFrame, sources: DataFrame, id_col: str, source_col: str, seed: int = 0) -> DataFrame:
-    """``rows``, each as often as its source's plan says, with a column ``_mix`` (copy, block, place, position)."""
-    p = sources.select(F.struct(F.col("source").alias("s"), "passes", "cut", "blocks", "repeats").alias("_plan"))
-    out = rows.join(_small(p), F.col(source_col).eqNullSafe(F.col("_plan.s")))
-    last = F.col("_plan.passes") - F.when(F.col("_plan.cut") > 0, 0).otherwise(1)
-    out = out.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))).alias("_copy"))
-    out = out.withColumn("_place", order_of(F.col("_copy"), F.col(id_col), seed))
-    out = out.where((F.col("_copy") < F.col("_plan.passes")) | (F.shiftright("_place", 24) < F.col("_plan.cut")))
-    block = F.col("_copy") * F.col("_plan.blocks") + F.floor(F.col("_place") / float(1 << 48) * F.col("_plan.blocks"))
-    position = F.round((block + 0.5) / F.ceil(F.col("_plan.repeats") * F.col("_plan.blocks")), 9)
-    return out.select(*rows.columns, F.struct(F.col("_copy").alias("copy"), block.alias("block"), F.col("_place").alias("place"), position.alias("position")).alias("_mix"))
+    """(row, mix): ``rows`` as structs, each as often as its source's plan says, with (copy, block, place, position)."""
+    p = sources.select(F.col("source").alias("s"), F.struct("passes", "cut", "blocks", "repeats").alias("plan"))
+    out = rows.select(F.struct(*rows.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))
+    out = out.join(_small(p), F.col("source").eqNullSafe(F.col("s")))
+    last = F.col("plan.passes") - F.when(F.col("plan.cut") > 0, 0).otherwise(1)
+    out = out.select("row", "id", "plan", F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))).alias("copy"))
+    out = out.withColumn("place", order_of(F.col("copy"), F.col("id"), seed))
+    out = out.where((F.col("copy") < F.col("plan.passes")) | (F.shiftright("place", 24) < F.col("plan.cut")))
+    block = F.col("copy") * F.col("plan.blocks") + F.floor(F.col("place") / float(1 << 48) * F.col("plan.blocks"))
+    position = F.round((block + 0.5) / F.ceil(F.col("plan.repeats") * F.col("plan.blocks")), 9)
+    return out.select("row", F.struct("copy", block.alias("block"), "place", position.alias("position")).alias("mix"))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **target) -> DataFrame:
@@ -147,11 +149,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     root = shared_dir(docs.sparkSession)
     tokens = token_table(docs, root, id_col, text_col, source_col)
     found = realise(tokens, plan(tokens, root, seed=seed, **target), "id", "source", seed)
-    return found.select(F.col("id").alias(id_col), "source", "n_tokens", "_mix.copy", "_mix.block", "_mix.position")
+    return found.select(F.col("row.id").alias(id_col), "row.source", "row.n_tokens", "mix.copy", "mix.block", "mix.position")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **target) -> DataFrame:
     """``docs`` with its columns, every row repeated as often as the mixture uses it."""
     root = shared_dir(docs.sparkSession)
     tokens = token_table(docs, root, id_col, text_col, source_col)
-    return realise(docs, plan(tokens, root, seed=seed, **target), id_col, source_col, seed).select(*docs.columns)
+    return realise(docs, plan(tokens, root, seed=seed, **target), id_col, source_col, seed).select("row.*")

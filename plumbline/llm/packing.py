@@ -1,24 +1,36 @@
 """Packing into optimal length buckets.
 
-Texts longer than ``max_length`` tokens become segments of at most that length.
-A dynamic programme over the global histogram of segment lengths (at most
-``max_length`` + 1 numbers, all that reaches the driver) chooses the bucket
-lengths that need the least padding in all. Within a bucket, segments are dealt
-into batches of as many as ``batch_tokens`` holds at the bucket's length.
+Tokens are the ids that a tokenizer gives or, without one, the words. Texts longer
+than ``max_length`` tokens become segments of at most that length. A dynamic programme
+over the global histogram of segment lengths (at most ``max_length`` + 1 numbers, all
+that reaches the driver) chooses the bucket lengths that need the least padding in
+all. Within a bucket, segments are dealt into batches of as many as ``batch_tokens``
+holds at the bucket's length. A batch holds its segments' tokens, so nothing need be
+looked up elsewhere.
 
 Positions within a bucket come from running numbers within (bucket, lane), lanes
-chosen by a hash, and the lanes' offsets: no bucket passes through one task.
+chosen by a hash of id and tokens, and the lanes' offsets: no bucket passes through
+one task.
 
 Defined results: a null, empty or wordless text is one segment of length 0; every
 row of the input is packed, repeated rows too; a null id stays null. Ties are
-ordered by id and start. An empty table gives no batches.
+ordered by id, start and tokens. Texts of any length are cut, never left out. An empty
+table gives no batches. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
+
+from plumbline.llm._batches import arrow_map, slices, texts_of
+from plumbline.llm._shared import shared_dir, written
+from plumbline.llm.token_files import encoder
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,35 +68,56 @@ def best_buckets(lengths: list[int], counts: list[int], buckets: int) -> list[in
     return found[::-1]
 
 
-def segments(docs: DataFrame, max_length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, length) in tokens (words here) of every row's segments."""
-    n = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), n.alias("n"))
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0).cast("long")), F.lit(max_length).cast("long"))
-    return rows.select("id", "n", F.explode(starts).alias("start")).select("id", "start", F.least(F.lit(max_length).cast("long"), F.col("n") - F.col("start")).alias("length"))
+def segments(docs: DataFrame, max_length: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """(id, start, length, tokens) of every row's segments; positions count tokens."""
+    if tokenizer is None:
+        words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))
+        rows = docs.select(F.col(id_col).alias("id"), words.alias("words"))
+        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(max_length))
+        rows = rows.select("id", F.explode(starts).alias("start"), "words").select("id", "start", F.slice("words", F.col("start") + 1, F.lit(max_length)).alias("tokens"))
+        return rows.select("id", F.col("start").cast("long").alias("start"), F.size("tokens").cast("long").alias("length"), "tokens")
+
+    pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = StructType([pair.schema[0]]).add("start", "long").add("length", "long").add("tokens", ArrayType(IntegerType()))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for batch in batches:
+            texts = texts_of(batch, 1)
+            for i, j in slices(texts):
+                found = enc.encode(texts[i:j])
+                ids = np.frombuffer(b"".join(found), np.dtype(enc.code)).astype(np.int32)
+                sizes = np.array([len(x) for x in found], np.int64) // np.dtype(enc.code).itemsize
+                parts = np.maximum(1, -(-sizes // max_length))  # segments of each row
+                row = np.repeat(np.arange(j - i), parts)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * max_length
+                length = np.minimum(max_length, sizes[row] - start)
+                offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(start), pa.array(length), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=schema.names)
 
-def pack(docs: DataFrame, max_length: int = 2048, buckets: int = 16, batch_tokens: int = 65_536, id_col: str = "doc_id", text_col: str = "text", lanes: int | None = None) -> DataFrame:
+    return arrow_map(pair, work, schema)
+
+
+def pack(docs: DataFrame, max_length: int = 2048, buckets: int = 16, batch_tokens: int = 65_536, id_col: str = "doc_id", text_col: str = "text", lanes: int | None = None, tokenizer: str | None = None) -> DataFrame:
     """(bucket_length, batch, n_segments, n_tokens, n_padding, segments) of every batch.
 
-    segments: array of (id_col, start, length) in order.
+    segments: array of (id_col, start, length, tokens) in order; tokens: ids under the
+    file ``tokenizer``, or words.
     """
-    from plumbline.llm._shared import shared_dir, written
-
     spark = docs.sparkSession
     lanes = lanes or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(segments(docs, max_length, id_col, text_col), shared_dir(spark), "segments")
+    rows = written(segments(docs, max_length, id_col, text_col, tokenizer), shared_dir(spark), "segments")
     histogram = sorted((r["length"], r["n"]) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect())
     chosen = best_buckets([x for x, _ in histogram], [n for _, n in histogram], buckets) or [1]
     bucket = F.coalesce(*[F.when(F.col("length") <= b, F.lit(b).cast("long")) for b in chosen])
-    rows = rows.withColumn("bucket", bucket).withColumn("lane", F.pmod(F.xxhash64("id", "start"), F.lit(lanes)))
+    rows = rows.withColumn("bucket", bucket).withColumn("lane", F.pmod(F.xxhash64("id", "start", "tokens"), F.lit(lanes)))
     before = Window.partitionBy("bucket").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("bucket", "lane").agg(F.count("*").alias("n")).select("bucket", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    number = F.row_number().over(Window.partitionBy("bucket", "lane").orderBy("id", "start")) - 1
+    number = F.row_number().over(Window.partitionBy("bucket", "lane").orderBy("id", "start", "tokens")) - 1
     placed = rows.withColumn("number", number).join(F.broadcast(offsets), ["bucket", "lane"])  # buckets * lanes rows
     holds = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(batch_tokens) / F.greatest(F.col("bucket"), F.lit(1).cast("long"))))
     placed = placed.withColumn("batch", F.floor((F.col("offset") + F.col("number")) / holds))
-    one = F.struct(F.col("id").alias(id_col), "start", "length")
+    one = F.struct(F.col("id").alias(id_col), "start", "length", "tokens")
     return placed.groupBy(F.col("bucket").alias("bucket_length"), "batch").agg(
         F.count("*").alias("n_segments"),
         F.sum("length").alias("n_tokens"),

@@ -56,7 +56,9 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packing.pack(_table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return _packing.pack(_table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

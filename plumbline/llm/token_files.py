@@ -13,11 +13,14 @@ have names that only its partition determines and appear by renaming, so that a
 task that runs again leaves the same files.
 
 Defined results: a null or empty text has only the end id; null document ids
-come first; repeated rows are encoded each. An empty table makes no file.
+come first; repeated rows are encoded each; ids are integers, or strings of such.
+Texts of any length are encoded whole. An empty table makes no file. Other columns,
+whatever their names, take no part.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -177,18 +180,24 @@ class _Endings(dict):
 
 
 class Encoder:
-    """The ids of texts under a byte-level tokenizer that splits words before a space, remembering pieces.
+    """The ids of texts under a tokenizer's file, remembering pieces if the file says that text may be cut before spaces.
 
-    A space before a character that is not white space always begins a new piece,
-    so text is cut there and each part encoded once. Plain words go straight to
-    the tokenizer's model; any other part, and any text with a space before white
-    space, takes the tokenizer's whole way.
+    That is so for byte-level models without normaliser: there a space before a
+    character that is not white space always begins a new piece, so text is cut there
+    and each part encoded once. Plain words go straight to the tokenizer's model; any
+    other part, and any text with a space before white space, takes the tokenizer's
+    whole way, as does every text under another kind of file.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        file = json.loads(self.tokenizer.to_str())
+        before = file.get("pre_tokenizer") or {}
+        model = file.get("model") or {}
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.in_parts = plain and not file.get("normalizer") and model.get("type") == "BPE" and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.visible = _visible()
         self.endings = _Endings(self)
@@ -200,7 +209,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as native integers of ``self.code``."""
-        return [self.whole([t])[0] if _RUN.search(t) else self._by_parts(t) for t in texts]
+        return [self._by_parts(t) if self.in_parts and not _RUN.search(t) else self.whole([t])[0] for t in texts]
 
     def _by_parts(self, text: str) -> bytes:
         head, *parts = text.split(" ")

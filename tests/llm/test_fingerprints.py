@@ -80,3 +80,8 @@ def test_ties_single_and_none(spark):
     got = fp.fingerprint(same).collect()
     assert sorted(x.doc_id for x in got) == [3, 3, 3, 3, 4]
     assert fp.fingerprint(one.limit(0)).collect() == []
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "a b c d e " * 100_000), (2, "x" * 400_000), (3, None)]
+    assert sorted((tuple(x) for x in fp.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == brute(rows)

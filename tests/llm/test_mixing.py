@@ -77,6 +77,18 @@ def test_documents_keep_their_columns(spark):
     assert {"Python", "Pandas"}.isdisjoint(out._jdf.queryExecution().toString())
 
 
+def test_columns_of_any_name(spark):
+    docs = documents(spark).selectExpr("*", "1 AS _copy", "2 AS _place", "3 AS _mix", "4 AS _plan", "5 AS s", "6 AS place", "7 AS n_tokens", "8 AS id", "9 AS row")
+    out = mx.mixed_documents(docs, max_repeats=2.0)
+    assert out.columns == docs.columns and out.count() == mx.mixture(docs, max_repeats=2.0).count() and {(r._copy, r.row, r.id) for r in out.collect()} == {(1, 9, 8)}
+
+
+def test_very_long_texts_count_whole(spark):
+    rows = [(1, words(400_000), "a"), (2, words(100_000), "b"), (3, "", None)]
+    got = mx.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_repeats=2.0).collect()
+    assert {(r.doc_id, r.n_tokens) for r in got} == {(1, 400_000), (2, 100_000), (3, 0)} and sum(r.doc_id == 2 for r in got) == 2
+
+
 def test_no_rows_and_no_tokens(spark):
     docs = documents(spark)
     assert mx.mixture(docs.limit(0)).collect() == []

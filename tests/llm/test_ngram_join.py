@@ -171,3 +171,13 @@ def test_hubs_are_connected_like_others(spark, tmp_path, monkeypatch):
         for a, b in edges:
             true[a] = true[b] = min(true[a], true[b])
     assert got == true
+
+
+def test_very_long_texts(spark):
+    r = random.Random(5)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(60_000)]
+    near = words[:]
+    for i in range(0, 60_000, 200):
+        near[i] = "edit"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:30_000])), (4, "x" * 500_000), (5, "x" * 500_000)]
+    assert sorted(tuple(x) for x in nj.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()) == brute(rows, 4, 85)

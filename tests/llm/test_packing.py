@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from plumbline.llm import packing as pk
 
 
@@ -43,4 +45,24 @@ def test_batches(spark):
         batches.sort()
         assert [x[0] for x in batches] == list(range(len(batches)))
         assert all(n == room for _, n, room in batches[:-1])
+    assert all(len(s.tokens) == s.length for b in got for s in b.segments)
     assert pk.pack(docs.limit(0)).collect() == []
+
+
+def test_batches_hold_the_ids_of_all_texts(spark):
+    from tokenizers import Tokenizer
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    r = random.Random(4)
+    rows = [(i % 50, " ".join(r.choice(["the", "cat", "Zoë", "x1."]) for _ in range(r.choice([0, 1, 20, 90, 400])))) for i in range(60)] + [(None, "a b"), (None, "a c"), (7, None), (8, "y" * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS tokens", "2 AS start").repartition(4)
+    got = pk.pack(docs, max_length=64, buckets=5, batch_tokens=512, tokenizer=path).collect()
+    found = sorted(((s.doc_id is None, s.doc_id or 0, s.start, list(s.tokens)) for b in got for s in b.segments))
+    want = []
+    for i, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want += [(i is None, i or 0, k, ids[k : k + 64]) for k in range(0, max(1, len(ids)), 64)]
+    assert found == sorted(want)
+    assert all(b.n_tokens == sum(len(s.tokens) for s in b.segments) for b in got)

@@ -3,10 +3,14 @@
 import random
 from collections import Counter
 
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from plumbline.llm import lang_id, mixing, packing
 from plumbline.llm.secret_scan import Scanner, redacted
 
+public_tokenizers = pytest.importorskip("public_tokenizers")
 EN = "the of and to in is that it for on with as was by this from or an be are not have at which one you were all her she there would their we him been has when who".split()
 DE = "der die das und in zu den von mit ist im für auf dem ein eine sich nicht auch werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über".split()
 
@@ -25,6 +29,8 @@ def documents(spark, seed=1):
             text += f' token = "{r.getrandbits(128):032x}"'
         rows.append((i * 2, text, lang, r.choice(["a", "a", "a", "b", None]), len(text)))
     rows += [(1001, "12 34 !!", "en", "a", 8), (1003, None, "de", "b", None), (1005, "", None, "b", 0)]
+    rows += [(1007, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(50)), None, "a", 400), (1009, "Привет как дела сегодня хорошая погода", None, "a", 38)]
+    rows += [(1011, " ".join(EN[:30] + DE[:30]), None, "a", 300)]  # clean, in two languages
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
@@ -37,8 +43,8 @@ def test_stages_against_plain_versions(spark, tmp_path):
     docs = documents(spark)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     model = lang_id.train(docs)
-    plain = [r for r in docs.collect() if model.predict(r.text)[0] != lang_id.UNKNOWN]
-    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in plain} == {1001, 1003, 1005}
+    plain = [r for r in docs.collect() if r.text and (shares := model.infer(r.text)) and 1 - shares[None] >= lang_id.MIN_SHARE]
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in plain} == {1001, 1003, 1005, 1007, 1009}
     group = {r.doc_id: r.doc_id for r in plain}
     sets = {r.doc_id: shingles(r.text) for r in plain}
     for a in plain:
@@ -64,10 +70,11 @@ def test_stages_against_plain_versions(spark, tmp_path):
             assert used == Counter(r.doc_id for r in mixing.mixture(spark.createDataFrame([(k, t, source[k]) for k, t in texts.items()], "doc_id long, text string, source string"), max_repeats=2.0).collect())
         if name != "packing":
             assert found.columns == docs.columns
-    packed = Counter((s.doc_id, s.start, s.length) for b in found.collect() for s in b.segments)
-    assert packed == Counter({(k, 0, len(texts[k].split())): n for k, n in used.items()})
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = Counter((s.doc_id, s.start, tuple(s.tokens)) for b in found.collect() for s in b.segments)
+    assert packed == Counter({(k, 0, tuple(tokens.encode(texts[k], add_special_tokens=False).ids)): n for k, n in used.items()})
     again = corpus_pipeline.run(spark, str(tmp_path))
-    assert Counter((s.doc_id, s.start, s.length) for b in again.collect() for s in b.segments) == packed
+    assert Counter((s.doc_id, s.start, tuple(s.tokens)) for b in again.collect() for s in b.segments) == packed
     assert again.columns == packing.pack(docs).columns
 
 

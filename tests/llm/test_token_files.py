@@ -26,6 +26,16 @@ def test_encoder_equals_the_library_on_any_text():
         assert [list(np.frombuffer(x, np.dtype(enc.code))) for x in enc.encode(texts)] == whole(texts)
 
 
+def test_other_kinds_of_files_take_the_librarys_way():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    enc, t = tf.Encoder(path), Tokenizer.from_file(path)
+    assert not enc.in_parts and tf.Encoder(P.path("byte_bpe_50k.json")).in_parts
+    for text in ("The CAT sat", "", "a  b\nc", "Zoë"):
+        assert list(np.frombuffer(enc.encode([text])[0], np.dtype(enc.code))) == t.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
 def test_any_range_is_read_without_the_rest(n):
     r = np.random.default_rng(n)
@@ -50,6 +60,13 @@ def test_round_trip_and_order(spark):
     assert got == expected
 
 
+def test_very_long_texts_and_null_ids(spark):
+    texts = ["the cat sat " * 60_000, "x" * 300_000, "a"]
+    docs = spark.createDataFrame([(3, texts[0], 1), (None, texts[1], 1), (3, texts[2], 1)], "doc_id long, text string, start int")
+    got = sorted(((r.doc_id is not None, r.n_tokens, r.ids_crc32) for r in tf.token_files(docs, P.path("byte_bpe_50k.json")).collect()))
+    assert got == sorted(((i != 1), len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for i, ids in enumerate(whole(texts)))
+
+
 def test_no_rows(spark):
     assert tf.token_files(spark.createDataFrame([], "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect() == []
 
