@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from plumbline.llm import packing as pk
@@ -26,7 +27,12 @@ def test_batches(spark):
     r = random.Random(2)
     rows = [(i % 190, " ".join(["x"] * r.choice([0, 1, 5, 30, 31, 99, 100, 101, 350])), 1) for i in range(200)] + [(500, None, 1), (None, "a b", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, batch int").repartition(5)
-    got = pk.pack(docs, max_length=100, buckets=4, batch_tokens=400).collect()
+    out = pk.pack(docs, max_length=100, buckets=4, batch_tokens=400)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in x and "batch#" in x for x in plan.splitlines()) == 1  # only what is left of lanes moves again
+    got = out.collect()
+    dealt = {(b.bucket_length, b.batch, tuple((s.doc_id, s.start) for s in b.segments)) for b in got}
+    assert dealt == {(b.bucket_length, b.batch, tuple((s.doc_id, s.start) for s in b.segments)) for b in pk.pack(docs.repartition(2), max_length=100, buckets=4, batch_tokens=400).collect()}
     packed = sorted(((s.doc_id is None, s.doc_id or 0, s.start, s.length) for b in got for s in b.segments))
     expected = []
     for i, t, _ in rows:
@@ -59,10 +65,10 @@ def test_batches_hold_the_ids_of_all_texts(spark):
     rows = [(i % 50, " ".join(r.choice(["the", "cat", "Zoë", "x1."]) for _ in range(r.choice([0, 1, 20, 90, 400])))) for i in range(60)] + [(None, "a b"), (None, "a c"), (7, None), (8, "y" * 20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS tokens", "2 AS start").repartition(4)
     got = pk.pack(docs, max_length=64, buckets=5, batch_tokens=512, tokenizer=path).collect()
-    found = sorted(((s.doc_id is None, s.doc_id or 0, s.start, list(s.tokens)) for b in got for s in b.segments))
+    found = sorted(((s.doc_id is None, s.doc_id or 0, s.start, np.frombuffer(s.tokens, "<u2").tolist()) for b in got for s in b.segments))
     want = []
     for i, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids
         want += [(i is None, i or 0, k, ids[k : k + 64]) for k in range(0, max(1, len(ids)), 64)]
     assert found == sorted(want)
-    assert all(b.n_tokens == sum(len(s.tokens) for s in b.segments) for b in got)
+    assert all(b.n_tokens == sum(len(s.tokens) // 2 for s in b.segments) for b in got)
