@@ -119,7 +119,7 @@ def pack(docs: DataFrame, max_length: int = 2048, buckets: int = 16, batch_token
     rest = F.col("n") - F.col("whole") * F.col("holds")
     deal = deal.select("bucket", "lane", "holds", "whole", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum(rest).over(before), F.lit(0)).alias("left"), F.sum("whole").over(bucket_).alias("all"))
     number = F.row_number().over(Window.partitionBy("bucket", "lane").orderBy("id", "start", "tokens")) - 1
-    placed = rows.withColumn("number", number).join(F.broadcast(deal), ["bucket", "lane"])  # at most buckets * lanes rows
+    placed = rows.repartitionByRange(lanes, "lane").withColumn("number", number).join(F.broadcast(deal), ["bucket", "lane"])  # at most buckets * lanes rows
     is_whole = F.col("number") < F.col("whole") * F.col("holds")
     one = F.struct(F.col("id").alias(id_col), "start", "length", "tokens")
     found = [
