@@ -82,19 +82,10 @@ def trigrams(text: Column) -> Column:
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits per character, 0 for an empty text.
 
-    Characters are sorted, so equal ones stand together and the first places of the
-    distinct ones tell how often each occurs.
+    Characters are sorted, so equal ones stand together; the lengths of these runs
+    tell how often each occurs.
     """
-
-    def of(chars: Column) -> Column:
-        n = F.size(chars)
-        begins = F.concat(F.transform(F.array_distinct(chars), lambda c: F.array_position(chars, c)), F.array((n + 1).cast("long")))
-        start = F.struct(F.lit(1).cast("long").alias("at"), F.lit(0.0).alias("bits"))
-
-        def step(s: Column, p: Column) -> Column:
-            k = (p - s["at"]) / n
-            return F.struct(p.alias("at"), F.when(k > 0, s["bits"] - k * F.log2(k)).otherwise(s["bits"]).alias("bits"))
-
-        return F.aggregate(begins, start, step, lambda s: s["bits"])
-
-    return F.when(F.length(text) > 0, F.transform(F.array(F.sort_array(F.split(text, ""))), of)[0]).otherwise(0.0)
+    n = F.length(text)
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(F.split(text, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    share = F.transform(runs, lambda r: F.length(r) / n)
+    return F.when(n > 0, F.aggregate(share, F.lit(0.0), lambda bits, k: bits - k * F.log2(k))).otherwise(0.0)

@@ -100,7 +100,10 @@ def doc_type(path: Column, types: tuple[DocType, ...] = TYPES) -> Column:
 
 
 def _of_type(kind: Column, value, types: tuple[DocType, ...], other: object = None) -> Column:
-    return _case([(kind == t.type, value(t)) for t in types], other)
+    """A value by type, looked up in a constant map: ``kind`` stands once in it, so filters on it stay small."""
+    known = [F.lit(x) for t in types if (v := value(t)) is not None for x in (t.type, v)]
+    found = F.element_at(F.create_map(*known), kind) if known else F.lit(None)
+    return found if other is None else F.coalesce(found, F.lit(other))
 
 
 def staleness(age: Column, max_age: Column, warn_age: Column) -> Column:
@@ -155,11 +158,16 @@ def string_list(front: Column, key: str) -> Column:
     return F.transform(bare, lambda x: F.regexp_replace(x, "^[\"'](.*)[\"']$", "$1"))
 
 
+def _title(front: Column, text: Column, path: Column) -> Column:
+    named = scalar(front, "title")
+    heading = F.trim(F.regexp_extract(text, r"(?m)^[ \t]*##? (.*)$", 1))
+    name = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+    return F.coalesce(F.when(F.length(named) > 0, named), F.when(text.rlike(r"(?m)^[ \t]*##? "), heading), name)
+
+
 def title(content: Column, path: Column) -> Column:
     """Of the front matter, else the first heading of level one or two, else the file's name without extension."""
-    heading = F.trim(F.regexp_extract(body(content), r"(?m)^[ \t]*##? (.*)$", 1))
-    name = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
-    return F.coalesce(F.when(F.length(scalar(front_matter(content), "title")) > 0, scalar(front_matter(content), "title")), F.when(body(content).rlike(r"(?m)^[ \t]*##? "), heading), name)
+    return _title(front_matter(content), body(content), path)
 
 
 def status(value: Column) -> Column:
@@ -172,19 +180,25 @@ def missing_fields(front: Column, fields: Column) -> Column:
     return F.when(front.isNull(), F.array(F.lit("frontmatter"))).otherwise(F.array_except(fields, keys(front)))
 
 
-def validate(docs: DataFrame, types: tuple[DocType, ...] = TYPES) -> DataFrame:
-    """(path, type, score, valid, missing) of typed documents: 1 less the penalties, at least 0; valid without missing fields."""
+def _parsed(docs: DataFrame, types: tuple[DocType, ...], *more: str) -> DataFrame:
+    """Typed documents with their front matter and body, which are looked for once a document."""
     rows = docs.withColumn("type", doc_type(F.col("path"), types)).where("type IS NOT NULL")
     content = F.coalesce("content", F.lit(""))
-    low = F.lower(content)
-    front = front_matter(content)
     validator = _of_type(F.col("type"), lambda t: t.validator, types)
     fields = F.from_json(_of_type(F.col("type"), lambda t: "[" + ",".join(f'"{f}"' for f in t.fields) + "]", types), "array<string>")
-    rows = rows.select("path", "type", low.alias("_low"), front.alias("_front"), content.alias("_content"), validator.alias("_v"), fields.alias("_fields"))
+    rows = rows.select("path", "type", *more, content.alias("_content"), F.lower(content).alias("_low"), F.regexp_extract(content, FRONT, 0).alias("_head"), validator.alias("_v"), fields.alias("_fields"))
+    has = F.col("_head") != ""
+    rest = F.trim(F.substring("_content", F.length("_head") + 1, F.length("_content")))
+    return rows.select("*", F.when(has, F.regexp_extract("_head", FRONT, 1)).alias("_front"), F.when(has, rest).otherwise(F.col("_content")).alias("_body"))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """``_parsed`` rows with ``score`` and ``_lacking``."""
     plain = F.col("_v").isin(*PLAIN)
     openapi = _openapi_missing(F.col("_content"))
     lacking = F.when(F.col("_v") == "openapi", openapi).when(plain, F.array().cast("array<string>")).otherwise(missing_fields(F.col("_front"), F.col("_fields")))
-    score = F.lit(1.0) - F.when(~plain & F.col("_front").isNull(), 0.3).otherwise(0.0) - 0.2 * F.size(lacking)
+    rows = rows.withColumn("_lacking", lacking)
+    score = F.lit(1.0) - F.when(~plain & F.col("_front").isNull(), 0.3).otherwise(0.0) - 0.2 * F.size("_lacking")
     for name, groups in VALIDATORS.items():
         for g in groups:
             n = sum((F.col("_low").contains(w).cast("int") for w in g.words), F.lit(0))
@@ -193,7 +207,12 @@ def validate(docs: DataFrame, types: tuple[DocType, ...] = TYPES) -> DataFrame:
     odd_severity = ~F.lower(scalar(F.col("_front"), "severity")).isin(*SEVERITIES)
     score = score - F.when((F.col("_v") == "madr") & odd_status, 0.1).otherwise(0.0) - F.when(F.col("_v").isin("runbook", "runbook_operational") & odd_severity, 0.1).otherwise(0.0)
     score = score - F.when(F.col("_v") == "openapi", _openapi_penalty(F.col("_content"))).otherwise(0.0)
-    return rows.select("path", "type", F.round(F.greatest(score, F.lit(0.0)), 6).alias("score"), (F.size(lacking) == 0).alias("valid"), F.array_join(lacking, ",").alias("missing"))
+    return rows.withColumn("score", F.round(F.greatest(score, F.lit(0.0)), 6))
+
+
+def validate(docs: DataFrame, types: tuple[DocType, ...] = TYPES) -> DataFrame:
+    """(path, type, score, valid, missing) of typed documents: 1 less the penalties, at least 0; valid without missing fields."""
+    return _judged(_parsed(docs, types)).select("path", "type", "score", (F.size("_lacking") == 0).alias("valid"), F.array_join("_lacking", ",").alias("missing"))
 
 
 def _has_key(content: Column, key: str) -> Column:
@@ -215,12 +234,19 @@ def _openapi_penalty(content: Column) -> Column:
 
 def registry(docs: DataFrame, as_of: str, types: tuple[DocType, ...] = TYPES) -> DataFrame:
     """(path, type, title, status, level, age_days, score, valid) of typed documents."""
-    rows = docs.withColumn("type", doc_type(F.col("path"), types)).where("type IS NOT NULL")
+    rows = _judged(_parsed(docs, types, "mod_time"))
     age = age_seconds(F.col("mod_time"), as_of)
     most, warn = _of_type(F.col("type"), lambda t: t.max_days * DAY, types), _of_type(F.col("type"), lambda t: t.warn_days * DAY, types)
-    content = F.coalesce("content", F.lit(""))
-    seen = rows.select("path", "type", title(content, F.col("path")).alias("title"), F.coalesce(status(scalar(front_matter(content), "status")), F.lit("draft")).alias("status"), staleness(age, most, warn).alias("level"), F.floor(age / DAY).alias("age_days"))
-    return seen.join(validate(docs, types).select("path", "score", "valid"), "path")
+    return rows.select(
+        "path",
+        "type",
+        _title(F.col("_front"), F.col("_body"), F.col("path")).alias("title"),
+        F.coalesce(status(scalar(F.col("_front"), "status")), F.lit("draft")).alias("status"),
+        staleness(age, most, warn).alias("level"),
+        F.floor(age / DAY).alias("age_days"),
+        "score",
+        (F.size("_lacking") == 0).alias("valid"),
+    )
 
 
 def listing(reg: DataFrame, type: str | None = None, status: str | None = None, level: str | None = None) -> DataFrame:
@@ -291,11 +317,13 @@ def freshness_summary(reg: DataFrame) -> DataFrame:
 
 
 def registry_stats(reg: DataFrame, types: tuple[DocType, ...] = TYPES) -> DataFrame:
-    """(part, name, n): by type, status and level, invalid documents, missing required types."""
-    part = lambda c: reg.groupBy(F.col(c).alias("name")).agg(F.count("*").alias("n")).select(F.lit(c).alias("part"), "name", "n")
-    invalid = reg.agg(F.count_if(~F.col("valid")).alias("n")).select(F.lit("invalid").alias("part"), F.lit("").alias("name"), "n")
-    lacking = missing_required(reg, types).agg(F.count("*").alias("n")).select(F.lit("required_missing").alias("part"), F.lit("").alias("name"), "n")
-    return part("type").unionByName(part("status")).unionByName(part("level")).unionByName(invalid).unionByName(lacking)
+    """(part, name, n): by type, status and level, invalid documents, missing required types. The registry is read once."""
+    one = lambda part, name, n=1: F.struct(F.lit(part).alias("part"), name.alias("name"), (n if isinstance(n, Column) else F.lit(n)).cast("long").alias("n"))
+    parts = F.array(*[one(c, F.col(c)) for c in ("type", "status", "level")], one("invalid", F.lit(""), F.when(F.col("valid"), 0).otherwise(1)))
+    none = reg.sparkSession.createDataFrame([("invalid", "", 0)], "part string, name string, n long")
+    counts = reg.select(F.explode(parts).alias("x")).select("x.*").union(none).groupBy("part", "name").agg(F.sum("n").alias("n"))
+    lacking = missing_required(counts.where("part = 'type'").select(F.col("name").alias("type")), types).agg(F.count("*").alias("n"))
+    return counts.unionByName(lacking.select(F.lit("required_missing").alias("part"), F.lit("").alias("name"), "n"))
 
 
 def suggestions(reg: DataFrame, files: DataFrame, types: tuple[DocType, ...] = TYPES) -> DataFrame:

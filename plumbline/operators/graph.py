@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import shared_dir, stored
@@ -374,15 +374,25 @@ OUTER_PACKAGES = "cmd|main|handler|server|api|gateway"
 INNER_PACKAGES = "internal|pkg"
 
 
-def near_callers(nodes: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(id, near): how many distinct other ids call a node within ``hops`` steps."""
+def near_callers(nodes: DataFrame, edges: DataFrame, hops: int, most: int = 6) -> DataFrame:
+    """(id, near): how many distinct other ids call a node within ``hops`` steps, counted up to ``most``.
+
+    Of a node's callers only the ``most`` + 1 least ids are kept at each hop (one may be
+    the node itself), so the work is linear in the edges; the bound drops rows of a
+    node with many callers before their shuffle.
+    """
     steps = _steps(edges, True).where("_from <> _to")
-    parts = [steps.select(F.col("_from").alias("id"), F.col("_to").alias("by"))]
+
+    def some(pairs: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("id").orderBy("by"))
+        return pairs.distinct().withColumn("_k", place).where(F.col("_k") <= most + 1).select("id", "by")
+
+    direct = steps.select(F.col("_from").alias("id"), F.col("_to").alias("by"))
+    found = some(direct)
     for _ in range(hops - 1):
-        last = parts[-1]
-        parts.append(last.join(steps, F.col("by") == F.col("_from")).select("id", F.col("_to").alias("by")).distinct())
-    pairs = reduce(DataFrame.unionAll, parts).where("id <> by").distinct()
-    return nodes.select("id").join(pairs.groupBy("id").agg(F.count("*").alias("near")), "id")
+        found = some(direct.union(steps.join(found, F.col("_to") == F.col("id")).select(F.col("_from").alias("id"), "by")))
+    counts = found.where("id <> by").groupBy("id").agg(F.least(F.count("*"), F.lit(most)).alias("near"))
+    return nodes.select("id").join(counts, "id")
 
 
 def untested(nodes: DataFrame, edges: DataFrame, min_priority: float = 0.0, include_exported: bool = True) -> DataFrame:

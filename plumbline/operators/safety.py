@@ -60,12 +60,6 @@ def compile_pattern(pattern: str) -> tuple[str, list[str]]:
     return re2_to_java(re.sub(r"\$([A-Z][A-Z0-9_]*)", capture, pattern)), names
 
 
-def _matches(text_lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(.., line, text, rule_no): every line's matching rules, by one pass of expressions over the lines."""
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(compile_pattern(r.pattern)[0]), F.lit(k)) for k, r in enumerate(rules)]))
-    return text_lines.withColumn("rule_no", F.explode(hits))
-
-
 def _lookup(rules: tuple[Rule, ...], value) -> Column:
     return F.element_at(F.array(*[F.lit(value(r)) for r in rules]), F.col("rule_no") + 1)
 
@@ -81,12 +75,19 @@ def rule_findings(files: DataFrame, rules: tuple[Rule, ...] = RULES, marker: str
     """(path, line, rule_id, severity, action, message, risk, suppressed), one row per rule and line (Q16).
 
     A finding is suppressed by the marker with the rule's id on its line or one of
-    the four lines above. The lines of a file are looked back upon, never gathered.
+    the four lines above. All of a file's lines stand in its row, so they are looked
+    back upon where they are read, and only lines with findings become rows.
     """
-    text_lines = lines(files.select("path", F.col("content").alias("text")))
-    near = Window.partitionBy("path").orderBy("line").rowsBetween(-4, 0)
-    marked = text_lines.withColumn("_marks", F.concat_ws("\n", F.collect_list(F.when(F.col("text").contains(marker), F.col("text"))).over(near)))
-    found = _matches(marked, rules)
+    every = files.select("path", F.split("content", "\n").alias("_lines"))
+
+    def judged(text: Column, i: Column) -> Column:
+        hits = F.array_compact(F.array(*[F.when(text.rlike(compile_pattern(r.pattern)[0]), F.lit(k)) for k, r in enumerate(rules)]))
+        above = [F.get("_lines", i - k) for k in range(5)]
+        marks = F.concat_ws("\n", *[F.when(x.contains(marker), x) for x in above])
+        return F.struct((i + 1).cast("long").alias("line"), hits.alias("hits"), marks.alias("marks"))
+
+    found = every.select("path", F.explode(F.filter(F.transform("_lines", judged), lambda x: F.size(x["hits"]) > 0)).alias("x"))
+    found = found.select("path", "x.line", F.col("x.marks").alias("_marks"), F.explode("x.hits").alias("rule_no"))
     rule_id = _lookup(rules, lambda r: r.id)
     severity = _lookup(rules, lambda r: r.severity)
     return found.select(

@@ -135,7 +135,22 @@ _add(
     _DOC_LINES + """, c AS (SELECT doc_id, line, ch, count(*) AS k, any_value(length(text)) AS n FROM (SELECT doc_id, line, text, unnest(string_split(text, '')) AS ch FROM t WHERE text <> '') GROUP BY doc_id, line, ch)
     SELECT doc_id, line, round(coalesce((SELECT -sum(k / n * log2(k / n)) FROM c WHERE c.doc_id = t.doc_id AND c.line = t.line), 0), 6) AS entropy FROM t""",
 )
-_add("t17_entropy_windows", _DOCS, lambda v: dlp.entropy_hits(v).withColumn("entropy", F.round("entropy", 6)), None)
+_add(
+    "t17_entropy_windows",
+    _DOCS,
+    lambda v: dlp.entropy_hits(v).withColumn("entropy", F.round("entropy", 6)),
+    # of the windows above the threshold, the first of a text, and then always the first that does not overlap the one before
+    """, w AS (SELECT doc_id, i, substr(text, i + 1, 20) AS s FROM (SELECT doc_id, text, unnest(range(0, length(text) - 19)) AS i FROM v WHERE length(text) >= 20)),
+    h AS MATERIALIZED (SELECT doc_id, i, s, e FROM (SELECT *, list_aggregate(string_split(s, ''), 'entropy') AS e FROM w) WHERE e > 4.0 + 1e-9),
+    g AS (SELECT doc_id, list(struct_pack(i := i, s := s, e := e) ORDER BY i) AS hits FROM h GROUP BY doc_id),
+    r AS (
+      SELECT doc_id, hits, 1 AS k, 0::BIGINT AS free, false AS taken, NULL::BIGINT AS pick FROM g
+      UNION ALL
+      SELECT doc_id, hits, k + 1, CASE WHEN hits[k].i >= free THEN hits[k].i + 20 ELSE free END, hits[k].i >= free, k FROM r WHERE k <= len(hits))
+    SELECT doc_id, hits[pick].i::BIGINT AS position, round(hits[pick].e, 6) AS entropy,
+           substr(hits[pick].s, 1, 3) || repeat('*', strlen(hits[pick].s) - 6) || right(hits[pick].s, 3) AS snippet
+    FROM r WHERE taken""",
+)
 _add("t18_redact", _DOCS, lambda v: v.select("doc_id", tx.redact(F.col("path")).alias("snippet")), " SELECT doc_id, substr(path, 1, 3) || repeat('*', strlen(path) - 6) || right(path, 3) AS snippet FROM v")
 _add(
     "t19_dlp_verdict",
