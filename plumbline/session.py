@@ -17,9 +17,17 @@ def session(name: str = "plumbline", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``, which driver and executors share; a local one where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder's URI below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that is unset, the session's own checkpoint folder serves; where there is none
+    either, a temporary one on a local master, and an error on a cluster, whose executors
+    would write where others cannot read.
+    """
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
