@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import graph as g
-from plumbline.plans.tables import EDGES, NATIONS, NODES, TRADE, frame
+from plumbline.plans.tables import CUSTOMERS, EDGES, NATIONS, NODES, REFERRALS, TRADE, frame
 from plumbline.session import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_RUN: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
 
 _WITH = f"WITH RECURSIVE edges AS ({EDGES}), nodes AS ({NODES}), trade AS ({TRADE}), nations AS ({NATIONS})"
 _DEGREES = """, deg AS (
@@ -22,6 +23,7 @@ _DEGREES = """, deg AS (
 
 def _query(name: str, run: Callable[[DataFrame, DataFrame], DataFrame], sql: str | None = None, nodes: str = NODES, edges: str = EDGES) -> None:
     """Registers ``run(nodes, edges)``; ``sql`` continues a WITH list of edges, nodes, trade and nations."""
+    _RUN[name] = run
     QUERIES[name] = lambda spark, sf_dir: run(frame(spark, sf_dir, nodes), frame(spark, sf_dir, edges))
     if sql is not None:
         ORACLES[name] = _WITH + sql
@@ -95,6 +97,9 @@ _query(
     NATIONS,
     TRADE,
 )
+for _name in ("g08_transitive_closure", "g09_cycles", "g10_strong_components", "g16_package_metrics"):  # the same over graphs that grow with the tables
+    QUERIES[f"{_name}_of_customers"] = lambda spark, sf_dir, run=_RUN[_name]: run(frame(spark, sf_dir, CUSTOMERS), frame(spark, sf_dir, REFERRALS))
+    ORACLES[f"{_name}_of_customers"] = f"WITH RECURSIVE trade AS ({REFERRALS}), nations AS ({CUSTOMERS})" + ORACLES[_name].removeprefix(_WITH)
 _query(
     "g17_cross_package_edges",
     g.cross_package,

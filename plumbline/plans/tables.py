@@ -50,3 +50,10 @@ FROM (SELECT s_nationkey, c_nationkey, count(*) AS n, avg(count(*)) OVER () AS m
 WHERE n > 1.4 * mean
 """
 NATIONS = "SELECT 'N:' || n_nationkey AS id, 'region/' || n_regionkey AS package FROM nation"
+#: Graphs with cycles that grow with the customers: rings within blocks of 40, some with a way on to the next block.
+CUSTOMERS = "SELECT 'C:' || c_custkey AS id, 'block/' || CAST(floor(c_custkey / 40) AS BIGINT) AS package FROM customer"
+REFERRALS = """
+SELECT 'C:' || c_custkey AS src, 'C:' || (c_custkey - c_custkey % 40 + (c_custkey * 7 + 3) % 40) AS dst, 'direct' AS call_type FROM customer
+UNION ALL SELECT 'C:' || c_custkey, 'C:' || (c_custkey - c_custkey % 40 + (c_custkey + 11) % 40), 'direct' FROM customer WHERE c_custkey % 9 = 0
+UNION ALL SELECT 'C:' || c_custkey, 'C:' || (c_custkey + 40), 'direct' FROM customer WHERE c_custkey % 5 = 0 AND floor(c_custkey / 40) % 4 <> 3
+"""
