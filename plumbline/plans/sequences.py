@@ -101,9 +101,51 @@ ORACLES["w11_rule_matches"] = (
     f"WITH r AS (SELECT DISTINCT rule FROM ({_RULES})), p AS ({_PATHS}) SELECT rule, id FROM r, p WHERE contains(lower(rule), regexp_extract(path, '([.][^.]*)$', 1)) OR len(list_filter(string_split(rule, ' '), lambda w: strlen(w) > 3 AND contains(lower(path), lower(w)))) > 0"
 )
 _LEASES = "SELECT event_type AS path, event_id AS seq, ts, 'u' || (user_id / 50) AS agent_id, CASE WHEN value > 80 THEN 'release' WHEN value > 60 THEN 'extend' ELSE 'acquire' END AS op FROM events".replace("(user_id / 50)", "CAST(floor(user_id / 50) AS INT)")
-_add("w12_leases", _LEASES, lambda v: sq.leases(v, 3600), None)
-_add("w13_circuit_breaker", "SELECT 'u' || user_id AS key, event_id AS seq, ts, event_type NOT IN ('error', 'click', 'view') AS ok FROM events", lambda v: sq.circuit(v, 3, 86400.0), None)
-_add("w14_token_bucket", "SELECT 'u' || user_id AS key, event_id AS seq, ts FROM events", lambda v: sq.token_bucket(v, 1 / 14400, 3).withColumn("tokens", F.round("tokens", 6)), None)
+_NUMBERED = ", o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ts, seq) AS k FROM v), w AS (SELECT DISTINCT {key}, 0::BIGINT AS k, {start} FROM v UNION ALL SELECT {step})"
+_add(
+    "w12_leases",
+    _LEASES,
+    lambda v: sq.leases(v, 3600),
+    _NUMBERED.format(
+        key="path",
+        start="NULL::BIGINT AS seq, NULL::VARCHAR AS agent_id, NULL::VARCHAR AS op, NULL::VARCHAR AS outcome, NULL::TIMESTAMP AS expires_at, NULL::VARCHAR AS holder, NULL::TIMESTAMP AS until",
+        step="""path, k, seq, agent_id, op, outcome, CASE WHEN outcome IN ('granted', 'extended') THEN ts + INTERVAL 1 HOUR WHEN outcome = 'denied' THEN until END,
+      CASE WHEN outcome IN ('granted', 'extended') THEN agent_id WHEN outcome <> 'released' THEN holder END, CASE WHEN outcome IN ('granted', 'extended') THEN ts + INTERVAL 1 HOUR WHEN outcome <> 'released' THEN until END
+    FROM (SELECT o.path, o.k, o.seq, o.agent_id, o.op, o.ts, w.holder, w.until, CASE
+        WHEN o.op = 'acquire' THEN CASE WHEN coalesce(o.agent_id, '') = '' THEN 'invalid' WHEN w.holder = o.agent_id THEN 'extended' WHEN w.holder IS NULL OR o.ts >= w.until THEN 'granted' ELSE 'denied' END
+        WHEN w.holder IS NULL THEN 'not_locked' WHEN w.holder IS DISTINCT FROM o.agent_id THEN 'denied' WHEN o.op = 'release' THEN 'released' ELSE 'extended' END AS outcome
+      FROM w JOIN o ON o.path = w.path AND o.k = w.k + 1)""",
+    )
+    + " SELECT path, seq, agent_id, op, outcome, expires_at FROM w WHERE k > 0",
+)
+_CALLS = "SELECT 'u' || user_id AS key, event_id AS seq, ts, event_type NOT IN ('error', 'click', 'view') AS ok FROM events"
+_add(
+    "w13_circuit_breaker",
+    _CALLS,
+    lambda v: sq.circuit(v, 3, 86400.0),
+    _NUMBERED.format(
+        key="key",
+        start="NULL::BIGINT AS seq, true AS allowed, 'closed' AS state, 0 AS failures, 0 AS successes, NULL::TIMESTAMP AS failed",
+        step="""key, k, seq, now <> 'open', CASE WHEN now = 'open' THEN 'open' WHEN NOT ok THEN CASE WHEN now = 'half_open' OR failures + 1 >= 3 THEN 'open' ELSE now END WHEN now = 'half_open' AND successes + 1 < 3 THEN 'half_open' ELSE 'closed' END,
+      CASE WHEN now = 'open' THEN failures WHEN NOT ok THEN failures + 1 WHEN now = 'half_open' AND successes + 1 < 3 THEN failures ELSE 0 END,
+      CASE WHEN now = 'half_open' AND ok THEN successes + 1 ELSE successes END, CASE WHEN now <> 'open' AND NOT ok THEN ts ELSE failed END
+    FROM (SELECT o.key, o.k, o.seq, o.ts, o.ok, w.failures, w.failed, CASE WHEN w.state = 'open' AND o.ts - w.failed > INTERVAL 24 HOUR THEN 'half_open' ELSE w.state END AS now,
+        CASE WHEN w.state = 'open' AND o.ts - w.failed > INTERVAL 24 HOUR THEN 0 ELSE w.successes END AS successes FROM w JOIN o ON o.key = w.key AND o.k = w.k + 1)""",
+    )
+    + " SELECT key, seq, allowed, state FROM w WHERE k > 0",
+)
+_add(
+    "w14_token_bucket",
+    "SELECT 'u' || user_id AS key, event_id AS seq, ts FROM events",
+    lambda v: sq.token_bucket(v, 1 / 14400, 3).withColumn("tokens", F.round("tokens", 6)),
+    _NUMBERED.format(
+        key="key",
+        start="NULL::BIGINT AS seq, false AS allowed, 3::DOUBLE AS tokens, NULL::TIMESTAMP AS last",
+        step="""key, k, seq, full_now >= 1, CASE WHEN full_now >= 1 THEN full_now - 1 ELSE full_now END, ts
+    FROM (SELECT o.key, o.k, o.seq, o.ts, CASE WHEN w.last IS NULL THEN w.tokens ELSE least(3::DOUBLE, w.tokens + date_sub('microsecond', w.last, o.ts) / 1e6::DOUBLE * (1 / 14400::DOUBLE)) END AS full_now FROM w JOIN o ON o.key = w.key AND o.k = w.k + 1)""",
+    )
+    + " SELECT key, seq, allowed, round(tokens, 6) AS tokens FROM w WHERE k > 0",
+)
 _add("w15_backoff", "SELECT o_orderkey AS id, CAST(o_custkey % 9 AS INT) - 1 AS attempt, CAST(400 + o_custkey % 105 AS INT) AS status FROM orders", lambda v: v.select("id", sq.backoff(F.col("attempt")).alias("bound"), sq.retryable(F.col("status")).alias("retry")), " SELECT id, CASE WHEN attempt <= 0 THEN 0 ELSE least(pow(2, attempt), 60) END AS bound, status IN (429, 500, 502, 503, 504) AS retry FROM v")
 _WINDOWS = "SELECT event_type, ts, user_id, value FROM events"
 _add(

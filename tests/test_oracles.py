@@ -11,7 +11,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 #: Beyond SQL; their tests against brute force stand in the other files.
-WITHOUT_SQL = {"g14_betweenness", "t12_obfuscation", "w12_leases", "w13_circuit_breaker", "w14_token_bucket"}
+WITHOUT_SQL = {"g14_betweenness", "t12_obfuscation"}
 
 
 @pytest.fixture(scope="module")
