@@ -126,6 +126,8 @@ _findings(
     _collide("suffix"),
     _TAKEN + " SELECT rule_id, CASE WHEN NOT conflict THEN rule_id ELSE rule_id || '.' || (SELECT min(n) FROM (SELECT unnest(range(1, 9)) AS n) WHERE rule_id || '.' || n NOT IN (SELECT rule_id FROM e)) END AS resolved_id, CASE WHEN conflict THEN 'suffix' ELSE 'none' END AS strategy, conflict FROM r",
 )
+_findings("f13_collisions_reject", _collide("reject"), _TAKEN + " SELECT rule_id, CASE WHEN conflict THEN '' ELSE rule_id END AS resolved_id, CASE WHEN conflict THEN 'reject' ELSE 'none' END AS strategy, conflict FROM r")
+_findings("f13_collisions_none", _collide("none"), _TAKEN + " SELECT rule_id, rule_id AS resolved_id, 'none' AS strategy, conflict FROM r")
 _findings("f14_dispatch_fallback", lambda f: f.select("seq", fi.fallback(F.col("rule"), F.col("level") != "error").alias("x")).select("seq", "x.*"), " SELECT seq, CASE WHEN level = 'error' THEN 'fallback' ELSE 'dispatched' END AS status, CASE WHEN level = 'error' THEN 'retry later' ELSE '' END AS advice FROM f")
 _findings("f15_sla", lambda f: fi.sla(f).withColumn("regression_rate", F.round("regression_rate", 9)), " SELECT count(*) AS total, count(*) FILTER (severity IN ('error', 'warning')) AS open, count(*) FILTER (severity NOT IN ('error', 'warning')) AS closed, round(avg((severity NOT IN ('error', 'warning'))::INT), 9) AS regression_rate FROM f")
 _findings("f20_external_severity", lambda f: f.groupBy(fi.external_severity(F.col("severity")).alias("severity")).agg(F.count("*").alias("n")), " SELECT CASE severity WHEN 'error' THEN 'High' WHEN 'warning' THEN 'Medium' WHEN 'note' THEN 'Low' ELSE 'Info' END AS severity, count(*) AS n FROM f GROUP BY 1")

@@ -66,6 +66,10 @@ _query(
     """ SELECT id, CASE substr(id, 1, 1) WHEN 'N' THEN '' WHEN 'C' THEN 'int;string' WHEN 'S' THEN CASE WHEN contains(signature, 'http') THEN 'http.ResponseWriter;*http.Request' ELSE 'float64' END ELSE 'int;string' END AS params,
     CASE substr(id, 1, 1) WHEN 'C' THEN 'Customer;error' WHEN 'S' THEN CASE WHEN contains(signature, 'http') THEN '' ELSE 'error' END ELSE '' END AS returns FROM nodes""",
 )
+_RANKED = "SELECT p_partkey AS id, p_retailprice / 2000 AS score, CASE p_type WHEN 'PROMO' THEN 'exact' WHEN 'SMALL' THEN 'prefix' ELSE 'fuzzy' END AS match, CAST(p_size * 3 AS BIGINT) AS fan_in, CASE p_size % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'type' WHEN 3 THEN 'package' ELSE 'field' END AS kind, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS name FROM part"
+QUERIES["n06_rank"] = lambda spark, sf_dir: frame(spark, sf_dir, _RANKED).select("id", F.round(se.rank(F.col("score"), F.col("match"), F.col("fan_in"), F.col("kind"), F.col("name")), 6).alias("rank"))
+ORACLES["n06_rank"] = f"""WITH v AS ({_RANKED}) SELECT id, round(greatest(0, least(1, 0.4::DOUBLE * score + 0.25::DOUBLE * least(fan_in / 100, 1) + CASE WHEN kind IN ('function', 'method') AND name[1] BETWEEN 'A' AND 'Z' THEN 0.15::DOUBLE ELSE 0 END
+  + 0.1::DOUBLE * CASE kind WHEN 'function' THEN 1 WHEN 'method' THEN 0.8::DOUBLE WHEN 'type' THEN 0.6::DOUBLE WHEN 'package' THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END + CASE match WHEN 'exact' THEN 0.1::DOUBLE WHEN 'prefix' THEN 0.05::DOUBLE ELSE 0 END)), 6) AS rank FROM v"""
 _query("n14_search_exact", lambda n, e: se.search_exact(n, e, "Deliver3"), _ranked(f"SELECT id, 1 AS base, 'exact' AS match FROM nodes WHERE name = 'Deliver3' OR {_SHORT} = 'Deliver3'"))
 _query("n14_search_prefix", lambda n, e: se.search_prefix(n, e, "GET12"), _ranked(f"SELECT id, 1 AS base, 'prefix' AS match FROM nodes WHERE starts_with(lower(name), 'get12') OR starts_with(lower({_SHORT}), 'get12')"))
 _query("n14_search_substring", lambda n, e: se.search_substring(n, e, "NATION_1"), _ranked("SELECT id, 1 AS base, 'substring' AS match FROM nodes WHERE contains(name, 'NATION_1')"))

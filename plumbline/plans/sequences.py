@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import sequences as sq
 from plumbline.plans.tables import frame
+from plumbline.streaming import streams as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,15 +149,29 @@ _add(
 )
 _add("w15_backoff", "SELECT o_orderkey AS id, CAST(o_custkey % 9 AS INT) - 1 AS attempt, CAST(400 + o_custkey % 105 AS INT) AS status FROM orders", lambda v: v.select("id", sq.backoff(F.col("attempt")).alias("bound"), sq.retryable(F.col("status")).alias("retry")), " SELECT id, CASE WHEN attempt <= 0 THEN 0 ELSE least(pow(2, attempt), 60) END AS bound, status IN (429, 500, 502, 503, 504) AS retry FROM v")
 _WINDOWS = "SELECT event_type, ts, user_id, value FROM events"
+def _n():
+    return F.count("*").alias("n")
+
+
+def _plain_times(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
+
+
 _add(
     "w18_windows",
     _WINDOWS,
-    lambda v: v.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"),
-    " SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM v GROUP BY ALL",
+    lambda v: _plain_times(st.windowed(v, "ts", "1 hour", _n(), F.round(F.sum("value"), 4).alias("total"), by=("event_type",))),
+    " SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM v GROUP BY ALL",
+)
+_add(
+    "w18_sliding_windows",
+    _WINDOWS,
+    lambda v: _plain_times(st.windowed(v, "ts", "3 hours", _n(), by=("event_type",), slide="1 hour")),
+    ", x AS (SELECT event_type, date_trunc('hour', ts) - INTERVAL 1 HOUR * unnest([0, 1, 2]) AS start FROM v) SELECT start, start + INTERVAL 3 HOUR AS end, event_type, count(*) AS n FROM x GROUP BY ALL",
 )
 _add(
     "w18_sessions",
     _WINDOWS,
-    lambda v: v.groupBy(F.session_window("ts", "6 hours").alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").cast("timestamp_ntz").alias("start"), "n"),
-    ", g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM h GROUP BY user_id, k",
+    lambda v: _plain_times(st.sessions(v, "ts", "6 hours", _n(), by=("user_id",))),
+    ", g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts)), h AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS end, count(*) AS n FROM h GROUP BY user_id, k",
 )

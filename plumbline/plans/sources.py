@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import governance, metrics
 from plumbline.plans.sequences import ORACLES as _BATCH
-from plumbline.plans.tables import frame
+from plumbline.plans.tables import EDGES, NODES, frame
 from plumbline.session import shared_dir
 from plumbline.sources import code, files, remote
 from plumbline.streaming import streams as st
@@ -56,6 +57,25 @@ _add(
     lambda v: code.parse_files(v)[0].select("id", "line", "exported", "signature"),
     " SELECT path || ':run' AS id, 1::BIGINT AS line, true AS exported, '(a, b=1)' AS signature FROM v UNION ALL SELECT path || ':_help', 4, false, '(a)' FROM v",
 )
+_FOUND = "SELECT p_partkey AS id, CASE p_size % 6 WHEN 0 THEN 'vendor/' WHEN 1 THEN 'a/.git/' WHEN 2 THEN 'web/node_modules/x/' WHEN 3 THEN '__pycache__/' WHEN 4 THEN 'src/vendors/' ELSE '' END || replace(p_name, ' ', '/') || CASE p_type WHEN 'PROMO' THEN '.rs' WHEN 'SMALL' THEN '.py' ELSE '.txt' END AS path, p_size, p_type FROM part"
+_add(
+    "s03_discovery",
+    _FOUND,
+    lambda v: v.where(code.discoverable(F.col("path")) & (code.language(F.col("path")) != "Unknown")).select("id", code.language(F.col("path")).alias("language")),
+    " SELECT id, CASE p_type WHEN 'PROMO' THEN 'Rust' ELSE 'Python' END AS language FROM v WHERE p_type IN ('PROMO', 'SMALL') AND p_size % 6 IN (4, 5)",
+)
+_RUST = "SELECT 'm/r' || s_suppkey || '.rs' AS path, 'pub fn run(a: i32) -> i32 {' || chr(10) || '    helper(a) // gone(a)' || chr(10) || '}' || chr(10) || 'fn helper' || '(a: i32) -> i32 { a }' || chr(10) AS content FROM supplier"
+_add("s04_rust_nodes", _RUST, lambda v: code.parse_files(v)[0].select("id", "package", "line", "exported", "signature"), " SELECT path || ':run' AS id, 'm' AS package, 1::BIGINT AS line, true AS exported, '(a: i32)' AS signature FROM v UNION ALL SELECT path || ':helper', 'm', 4, false, '(a: i32)' FROM v")
+_add("s04_rust_edges", _RUST, lambda v: code.parse_files(v)[1], " SELECT path || ':run' AS src, path || ':helper' AS dst, 'direct' AS call_type FROM v")
+_SCRIPT = "SELECT 'w/t' || s_suppkey || CASE WHEN s_nationkey % 2 = 0 THEN '.ts' ELSE '.jsx' END AS path, 'export async function load(u) {' || chr(10) || '  /* gone(u) */ return get(u)' || chr(10) || '}' || chr(10) || 'const get = async (u) => { fetch(u); log(\"x(\") }' || chr(10) AS content FROM supplier"
+_add("s04_script_nodes", _SCRIPT, lambda v: code.parse_files(v)[0].select("id", "line", "exported", "signature"), " SELECT path || ':load' AS id, 1::BIGINT AS line, true AS exported, '(u)' AS signature FROM v UNION ALL SELECT path || ':get', 4, false, '(u)' FROM v")
+_add("s04_script_edges", _SCRIPT, lambda v: code.parse_files(v)[1], " SELECT path || ':load' AS src, path || ':get' AS dst, 'direct' AS call_type FROM v UNION ALL SELECT path || ':get', path || ':fetch', 'direct' FROM v UNION ALL SELECT path || ':get', path || ':log', 'direct' FROM v")
+_add(
+    "s20_accessors",
+    "SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_size AS size, '---' || chr(10) || 'title: \"' || p_name || '\"' || chr(10) || 'owner: ' || p_name || chr(10) || 'count: ' || p_size || chr(10) || 'tags: [a, ' || p_size || ', ' || p_brand || ']' || chr(10) || 'roles:' || chr(10) || '  - ' || p_name || chr(10) || '  - true' || chr(10) || '---' || chr(10) || 'text' AS content FROM part",
+    lambda v: v.select("id", governance.front_matter(F.col("content")).alias("m")).select("id", *[governance.scalar(F.col("m"), k).alias(k) for k in ("title", "owner", "count", "none")], *[F.array_join(governance.string_list(F.col("m"), k), ";").alias(k) for k in ("tags", "roles")], F.array_join(governance.keys(F.col("m")), ";").alias("keys")),
+    " SELECT id, name AS title, name AS owner, NULL::VARCHAR AS count, NULL::VARCHAR AS none, 'a;' || brand AS tags, name AS roles, 'title;owner;count;tags;roles' AS keys FROM v",
+)
 _add(
     "q01_resolve_edges",
     _CODE,
@@ -66,8 +86,7 @@ _add(
 
 def _s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = frame(spark, sf_dir, "SELECT vec_id, embedding FROM embeddings")
-    blob = F.udf(lambda v: files.encode_vector(v), "binary")  # stands for a legacy table of blobs
-    back = files.decode_vectors(vectors.select("vec_id", blob("embedding").alias("embedding")))
+    back = files.decode_vectors(files.encode_vectors(vectors))
     return back.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
 
@@ -80,6 +99,88 @@ _add(
     lambda v: v.select("id", remote.envelope(F.col("text"), "struct<k:bigint>").alias("e")).select("id", "e.age_hours", F.array_join("e.warnings", ",").alias("warnings"), "e.data.k", "e.raw"),
     " SELECT id, CASE WHEN event_type NOT IN ('error', 'view') THEN 5.5::DOUBLE END AS age_hours, CASE WHEN event_type NOT IN ('error', 'view') THEN 'old' END AS warnings, CASE WHEN event_type <> 'error' THEN user_id END AS k, CASE WHEN event_type = 'error' THEN text END AS raw FROM v",
 )
+def _pages(form: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Nations as the pages of a service that tells the total, or only whether there are more."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        items = [r.asDict() for r in frame(spark, sf_dir, "SELECT n_nationkey AS id, n_name AS name FROM nation").orderBy("id").collect()]
+
+        def fetch(page: int) -> dict:
+            return {"items": items[page * 7 - 7 : page * 7]} | ({"total": len(items)} if form == "total" else {"has_more": page * 7 < len(items)})
+
+        spark.dataSource.register(remote.paged(f"nations_{form}", fetch, "id int, name string", 7))
+        return spark.read.format(f"nations_{form}").load()
+
+    return run
+
+
+for _form in ("total", "more"):
+    QUERIES[f"s23_pages_{_form}"] = _pages(_form)
+    ORACLES[f"s23_pages_{_form}"] = "SELECT n_nationkey AS id, n_name AS name FROM nation"
+_add(
+    "s25_remote_payloads",
+    "SELECT event_id AS id, event_type, value, user_id, CASE event_type WHEN 'error' THEN 'no json' ELSE '{\"passed\": ' || CASE WHEN value > 50 THEN 'true' ELSE 'false' END || ', \"score\": 0.5, \"checks\": [{\"name\": \"c' || user_id || '\", \"passed\": false, \"severity\": \"error\"}], \"total_checks\": ' || user_id || ', \"other\": 1}' END AS text FROM events",
+    lambda v: v.select("id", remote.payload(F.col("text"), "compliance").alias("p")).select("id", "p.passed", "p.score", F.col("p.checks")[0]["name"].alias("name"), F.col("p.checks")[0]["message"].alias("message"), "p.total_checks", "p.failed_checks"),
+    " SELECT id, CASE WHEN event_type <> 'error' THEN value > 50 END AS passed, CASE WHEN event_type <> 'error' THEN 0.5::DOUBLE END AS score, CASE WHEN event_type <> 'error' THEN 'c' || user_id END AS name, NULL::VARCHAR AS message, CASE WHEN event_type <> 'error' THEN user_id END AS total_checks, NULL::BIGINT AS failed_checks FROM v",
+)
+
+
+def _s26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/audit"
+    entries = frame(spark, sf_dir, "SELECT c_custkey AS seq, c_name AS entry FROM customer")
+    first, second = entries.where("seq < 50"), entries.where("seq >= 50")
+    for batch_id, batch in ((0, first), (1, second), (1, second), (2, entries.where("seq < 0"))):  # the second comes again, the last is empty
+        remote.append_audit(batch, path, batch_id)
+    return spark.read.schema("seq bigint, hash string").json(path).select("seq", "hash")
+
+
+QUERIES["s26_audit_chain"] = _s26
+ORACLES["s26_audit_chain"] = "WITH RECURSIVE o AS (SELECT c_custkey AS seq, c_name AS entry, row_number() OVER (ORDER BY c_custkey) AS k FROM customer), w AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS seq, '' AS hash UNION ALL SELECT o.k, o.seq, sha256(w.hash || o.entry) FROM w JOIN o ON o.k = w.k + 1) SELECT seq, hash FROM w WHERE k > 0"
+
+
+def _s30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    locks = files.StateTable(spark, f"{shared_dir(spark)}/locks", "path string, agent_id string")
+    held = frame(spark, sf_dir, "SELECT 'f' || o_orderkey AS path, 'a' || o_custkey AS agent_id, o_orderstatus AS s FROM orders")
+    locks.save(held.where("s = 'F'").select("path", "agent_id"))
+    locks.save(locks.load().unionByName(held.where("s = 'O'").select("path", "agent_id")))
+    return locks.load()
+
+
+QUERIES["s30_state_table"] = _s30
+ORACLES["s30_state_table"] = "SELECT 'f' || o_orderkey AS path, 'a' || o_custkey AS agent_id FROM orders WHERE o_orderstatus IN ('F', 'O')"
+
+
+def _s31(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, of = f"{shared_dir(spark)}/templates", spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in frame(spark, sf_dir, "SELECT r_regionkey AS k, r_name AS name FROM region").collect():
+        out = fs.create(of(f"{root}/{r.name}.{('yaml', 'yml', 'txt')[r.k % 3]}"))
+        out.write(bytearray(f"id: {r.k}\nsteps:\n  - look\n".encode()))
+        out.close()
+    return files.read_templates(spark, root)
+
+
+QUERIES["s31_templates"] = _s31
+ORACLES["s31_templates"] = "SELECT r_name AS name, 'id: ' || r_regionkey || chr(10) || 'steps:' || chr(10) || '  - look' || chr(10) AS text FROM region WHERE r_regionkey % 3 <> 2"
+
+
+def _s32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = [(r.k, files.load_config(f"# {r.name}\nmode: {('light', 'full')[r.k % 2]}\nsearch_limit: {r.k}  # own\n")) for r in frame(spark, sf_dir, "SELECT r_regionkey AS k, r_name AS name FROM region").collect()]
+    return spark.createDataFrame([(k, c.mode, c.search_limit, c.stale_hours, next(iter(c.trigger))) for k, c in texts], "id bigint, mode string, search_limit bigint, stale_hours double, trigger string")
+
+
+QUERIES["s32_config"] = _s32
+ORACLES["s32_config"] = "SELECT r_regionkey AS id, CASE r_regionkey % 2 WHEN 0 THEN 'light' ELSE 'full' END AS mode, r_regionkey AS search_limit, 24::DOUBLE AS stale_hours, CASE r_regionkey % 2 WHEN 0 THEN 'availableNow' ELSE 'processingTime' END AS trigger FROM region"
+_TOOLS = "SELECT event_type AS tool, CASE WHEN value > 90 THEN 'error' ELSE 'ok' END AS status, value / 20 AS seconds FROM events"
+_add("s33_tool_calls", _TOOLS, lambda v: metrics.counters(v, "tool", "status"), " SELECT tool, status, count(*) AS n FROM v GROUP BY ALL")
+_add(
+    "s33_tool_latency",
+    _TOOLS,
+    lambda v: metrics.histogram(v, "seconds", "tool"),
+    " SELECT tool, le, count(*) FILTER (seconds <= bound) AS n FROM v, (VALUES (0.005::DOUBLE, '0.005'), (0.01, '0.01'), (0.025, '0.025'), (0.05, '0.05'), (0.1, '0.1'), (0.25, '0.25'), (0.5, '0.5'), (1, '1'), (2.5, '2.5'), (5, '5'), (10, '10'), ('inf'::DOUBLE, '+Inf')) AS b(bound, le) GROUP BY ALL",
+)
+QUERIES["s33_graph_gauges"] = lambda spark, sf_dir: metrics.graph_gauges(frame(spark, sf_dir, NODES), frame(spark, sf_dir, EDGES))
+ORACLES["s33_graph_gauges"] = f"SELECT 'graph_nodes_total' AS gauge, count(*)::DOUBLE AS value FROM ({NODES}) UNION ALL SELECT 'graph_edges_total', count(*) FROM ({EDGES})"
 _add(
     "s28_finding_payloads",
     "SELECT event_id AS seq, event_type AS rule_id, CASE event_type WHEN 'error' THEN 'error' ELSE 'note' END AS severity, props AS message, 'f' AS file, user_id AS line, 'fp' || event_id AS fingerprint FROM events",
@@ -101,6 +202,24 @@ def _run(stream: DataFrame, root: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+def _w04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of changes by event type, one file a micro-batch: each is one rebuild, however many changes it holds."""
+    root = shared_dir(spark)
+    changes = frame(spark, sf_dir, "SELECT event_id AS id, event_type FROM events")
+    changes.repartition("event_type").write.partitionBy("event_type").json(f"{root}/in")
+
+    def rebuild(session: SparkSession) -> None:
+        session.range(1).write.mode("append").parquet(f"{root}/rebuilds")
+
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).json(f"{root}/in")
+    st.rebuild_on_change(stream, rebuild, f"{root}/checkpoint", {"availableNow": True}).awaitTermination()
+    return spark.read.schema("id bigint").parquet(f"{root}/rebuilds").agg(F.count("*").alias("rebuilds"))
+
+
+QUERIES["w04_rebuilds"] = _w04
+ORACLES["w04_rebuilds"] = "SELECT count(DISTINCT event_type) AS rebuilds FROM events"
+
+
 def _with_state(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
     """``run`` with the state store that keyed state needs."""
     before = {k: spark.conf.get(k, None) for k in st.STATE_STORE}

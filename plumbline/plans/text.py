@@ -43,6 +43,13 @@ found AS (SELECT path, line, rule_id, severity, action, message,
   (SELECT bool_or(contains(x, 'plumbline:allow') AND contains(x, rule_id)) FROM (SELECT unnest(string_split(near, chr(10))) AS x)) AS suppressed
   FROM t JOIN rules ON regexp_matches(text, pattern))"""
 )
+_CALL_REGEX, _CALL_NAMES = sa.compile_pattern(r"exec\.Command\($ARG, $OTHER2\)")
+_add(
+    "t01_compiled_pattern",
+    "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'x := exec.Command(arg' || o_custkey || ', b)' WHEN 'O' THEN 'exec.Command(1, b)' ELSE 'exec_Command(a, b)' END AS line, o_orderstatus AS s, o_custkey AS k FROM orders",
+    lambda v: v.where(F.col("line").rlike(_CALL_REGEX)).select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_extract("line", _CALL_REGEX, k + 1).alias("value")) for k, n in enumerate(_CALL_NAMES)])).alias("x")).select("id", "x.*"),
+    " SELECT id, 'ARG' AS name, 'arg' || k AS value FROM v WHERE s = 'F' UNION ALL SELECT id, 'OTHER2', 'b' FROM v WHERE s = 'F'",
+)
 _add("t02_t05_rule_findings", _FILES, sa.rule_findings, _FOUND + " SELECT * FROM found")
 _add(
     "t03_metavariables",
@@ -205,6 +212,8 @@ _SIDES = ", s AS (SELECT path, unnest(range(1, greatest(len(o), len(w)) + 1)) AS
 _add("t27_conflicts", _PAIRS, pk.conflicts, _SIDES + " SELECT * FROM x WHERE original <> shadow")
 _add("t27_merge_last_write", _PAIRS, pk.merge, _SIDES + " SELECT path, (SELECT any_value(shadow) FROM v WHERE v.path = x.path) AS merged, count(*) FILTER (original <> shadow) AS n_conflicts FROM x GROUP BY path")
 _add("t27_merge_auto", _PAIRS, lambda v: pk.merge(v, "auto"), _SIDES + " SELECT path, string_agg(CASE WHEN shadow = '' THEN original ELSE shadow END, chr(10) ORDER BY line) AS merged, count(*) FILTER (original <> shadow) AS n_conflicts FROM x GROUP BY path")
+_SOME_ALIKE = _PAIRS.replace("b.text AS shadow", "CASE WHEN a.turn % 3 = 0 THEN a.text ELSE b.text END AS shadow")
+_add("t27_merge_manual", _SOME_ALIKE, lambda v: pk.merge(v, "manual"), _SIDES + " SELECT path, CASE WHEN count(*) FILTER (original <> shadow) = 0 THEN (SELECT any_value(shadow) FROM v WHERE v.path = x.path) END AS merged, count(*) FILTER (original <> shadow) AS n_conflicts FROM x GROUP BY path")
 _add("t28_content_hash", _DOCS, lambda v: v.select("doc_id", pk.content_hash(F.col("text")).alias("hash")), " SELECT doc_id, sha256(text) AS hash FROM v")
 
 

@@ -51,12 +51,17 @@ def exported(lang: Column, name: Column, declaration: Column) -> Column:
     )
 
 
+def discoverable(path: Column) -> Column:
+    """S3: the path lies in no hidden folder, no folder of dependencies and no cache."""
+    return ~path.rlike(SKIPPED)
+
+
 def read_sources(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> DataFrame:
     """S3: (path, content) of the files below ``root``, hidden folders, dependencies and caches left out; paths are relative."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}").load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     path = F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/*", ""), f"{base}/", -1)
-    return files.select(path.alias("path"), F.decode("content", "UTF-8").alias("content")).where(~F.col("path").rlike(SKIPPED))
+    return files.select(path.alias("path"), F.decode("content", "UTF-8").alias("content")).where(discoverable(F.col("path")))
 
 
 def packages(files: DataFrame) -> DataFrame:

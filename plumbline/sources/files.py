@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, fields
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +41,22 @@ def decode_vectors(rows: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.mapInArrow(work, schema).select(*rows.columns)
 
 
+def encode_vectors(rows: DataFrame, column: str = "embedding") -> DataFrame:
+    """A column of arrays as little-endian single-precision blobs; null stays null."""
+    import pyarrow as pa
+
+    at = rows.columns.index(column)
+    schema = rows.drop(column).schema.add(column, "binary")
+
+    def work(batches):
+        for batch in batches:
+            blobs = [None if v is None else encode_vector(v) for v in batch.column(at).to_pylist()]
+            rest = [c for k, c in enumerate(batch.columns) if k != at]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(blobs, pa.binary())], names=schema.names)
+
+    return rows.mapInArrow(work, schema).select(*rows.columns)
+
+
 def encode_vector(values: list[float]) -> bytes:
     """S11."""
     return np.asarray(values, "<f4").tobytes()
@@ -55,7 +70,7 @@ def base_name_filter(path: Column, include: tuple[str, ...] = (), exclude: tuple
 
 
 def scan(spark: SparkSession, root: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(path, size, mod_time) of the files below ``root``; contents are not read."""
+    """(path, size, mod_time) of the files below ``root``; contents are not read. Spark's readers pass over empty files and names that begin with ``_`` or ``.``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("mod_time"))
     return files.where(base_name_filter(F.col("path"), include, exclude))
 
@@ -106,9 +121,25 @@ def load_config(text: str) -> Config:
 
 
 def read_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, text) of the fix templates in a folder."""
-    rows = [(p.stem, p.read_text()) for p in sorted(Path(folder).glob("*.y*ml"))]
-    return spark.createDataFrame(rows, "name string, text string")
+    """(name, text) of the fix templates in a folder that Spark's readers can open; empty files are none."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{yaml,yml}").load(folder)
+    return rows.select(F.regexp_extract("path", r"([^/]+)\.ya?ml$", 1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+
+
+def folders(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """The numbers, ascending, of the folders ``<prefix><number>`` below ``root`` that were written to the end."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    at = of(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = []
+    for status in fs.listStatus(at):
+        path = status.getPath()
+        number = path.getName().removeprefix(prefix)
+        if path.getName().startswith(prefix) and number.isdigit() and fs.exists(of(path, "_SUCCESS")):
+            found.append(int(number))
+    return sorted(found)
 
 
 class StateTable:
@@ -122,17 +153,7 @@ class StateTable:
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
     def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        found = []
-        for status in fs.listStatus(hadoop):
-            path = status.getPath()
-            name = path.getName()
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-                found.append(int(name[1:]))
-        return sorted(found)
+        return folders(self.spark, self.root, "v")
 
     def load(self) -> DataFrame:
         versions = self._versions()

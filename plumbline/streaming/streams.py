@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -98,6 +98,8 @@ def lease_stream(requests: DataFrame, seconds: float = 300.0) -> DataFrame:
         now = row.ts.timestamp()
         mine = state is not None and state[0] == row.agent_id
         out = {"path": row.path, "seq": row.seq, "agent_id": row.agent_id, "op": row.op}
+        if row.op == "acquire" and (pd.isna(row.agent_id) or not row.agent_id):
+            return state, out | {"outcome": "invalid"}
         if row.op == "acquire" and (state is None or mine or now >= state[1]):
             return (row.agent_id, now + seconds), out | {"outcome": "extended" if mine else "granted"}
         if state is None:
@@ -127,6 +129,26 @@ def change_stream(snapshots: DataFrame) -> DataFrame:
     return _stateful(snapshots.withColumnRenamed("size", "size_"), "path", "path string, scan bigint, change string", "size bigint, time double", ["scan"], step)
 
 
+def _awaited(events: DataFrame, time: str, delay: str | None) -> DataFrame:
+    return events.withWatermark(time, delay) if delay and events.isStreaming else events
+
+
+def windowed(events: DataFrame, time: str, size: str, *measures: Column, by: tuple[str, ...] = (), slide: str | None = None, delay: str | None = None) -> DataFrame:
+    """(start, end, by, measures) of tumbling windows, or sliding ones; rows without a time are in no window.
+
+    In a stream, a window comes out once, ``delay`` after its end by the rows' own time;
+    rows for a window that a micro-batch before has let out are left out.
+    """
+    rows = _awaited(events, time, delay).groupBy(F.window(time, size, slide).alias("_w"), *by).agg(*measures)
+    return rows.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *[c for c in rows.columns if c != "_w"])
+
+
+def sessions(events: DataFrame, time: str, gap: str, *measures: Column, by: tuple[str, ...] = (), delay: str | None = None) -> DataFrame:
+    """(start, end, by, measures) of sessions, which end when nothing comes for ``gap``; lateness as in ``windowed``."""
+    rows = _awaited(events, time, delay).groupBy(F.session_window(time, gap).alias("_w"), *by).agg(*measures)
+    return rows.select(F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *[c for c in rows.columns if c != "_w"])
+
+
 def rebuild_on_change(changes: DataFrame, rebuild: Callable[[SparkSession], None], checkpoint: str, trigger: dict):
     """``rebuild`` once for each micro-batch that holds a change, however many it holds."""
 

@@ -61,6 +61,65 @@ def test_pages(spark):
     assert sorted(r.id for r in df.collect()) == [0, 1, 2, 3, 4] and df.rdd.getNumPartitions() == 3
 
 
+def test_pages_of_unknown_number(spark):
+    spark.dataSource.register(remote.paged("more", lambda page: {"items": [{"id": page}], "has_more": page < 4}, "id int, name string"))
+    df = spark.read.format("more").load()
+    assert sorted(r.id for r in df.collect()) == [1, 2, 3, 4] and df.rdd.getNumPartitions() == 1
+
+
+def test_payloads(spark):
+    rows = spark.createDataFrame([(1, '{"files": [{"path": "a", "status": "resolved"}], "count": 1}'), (2, "no json"), (3, None)], "id long, text string")
+    got = {r.id: r.p for r in rows.select("id", remote.payload(rows.text, "conflicts").alias("p")).collect()}
+    assert got[1]["files"][0].path == "a" and got[1]["count"] == 1
+    assert got[2]["files"] is None and got[3] is None
+    for verb in remote.SCHEMAS:
+        assert spark.createDataFrame([], remote.SCHEMAS[verb]).columns
+
+
+def test_breaker_and_bucket():
+    now = [0.0]
+    b = remote.Breaker(2, 30, 2, clock=lambda: now[0])
+    seen = []
+    for t, ok in ((0, False), (1, False), (2, True), (40, True), (41, True), (42, False)):
+        now[0] = t
+        allowed = b.allow()
+        if allowed:
+            b.record(ok)
+        seen.append((allowed, b.state))
+    assert seen == [(True, "closed"), (True, "open"), (False, "open"), (True, "half_open"), (True, "closed"), (True, "closed")]
+    slept = []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    bucket = remote.Bucket(2.0, 2.0, clock=lambda: now[0], sleep=sleep)
+    for _ in range(4):
+        bucket.wait()
+    assert slept == [0.5, 0.5]
+
+
+def test_failed_deliveries_fail_the_batch_and_the_breaker_holds_back(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "x") for k in range(10)], "seq long, body string")
+
+    def send(url, body, headers):
+        with open(f"{tmp_path}/tries", "a") as f:
+            f.write("t")
+        return 503
+
+    with pytest.raises(Exception, match="2 deliveries failed, 8 held back"):
+        remote.webhook_sink(send, "https://good.example/x", threshold=4, attempts=2, delay=0.0, rate=1000)(rows, 0)
+    assert (tmp_path / "tries").read_text() == "tttt"
+
+
+def test_templates(spark, tmp_path):
+    (tmp_path / "fix.yaml").write_text("id: 1\n")
+    (tmp_path / "other.yml").write_text("a: b")
+    (tmp_path / "empty.yml").write_text("")
+    (tmp_path / "no.txt").write_text("x")
+    assert {(r.name, r.text) for r in files.read_templates(spark, f"file://{tmp_path}").collect()} == {("fix", "id: 1\n"), ("other", "a: b")}
+
+
 def test_retries():
     calls = []
 
@@ -97,8 +156,9 @@ def test_audit_chain(spark, tmp_path):
 
     path = f"file://{tmp_path}/audit"
     rows = spark.createDataFrame([(k, f"e{k}") for k in range(5)], "seq long, entry string")
-    last = remote.append_audit(rows.where("seq < 3"), path)
-    remote.append_audit(rows.where("seq >= 3"), path, last)
+    first, rest = rows.where("seq < 3"), rows.where("seq >= 3")
+    for batch_id, batch in ((0, first), (1, rows.where("seq > 9")), (2, rest), (2, rest)):  # an empty batch, and one that comes again
+        remote.append_audit(batch, path, batch_id)
     got = verify_chain(spark.read.schema("log string, seq bigint, entry string, hash string").json(path)).collect()
     assert len(got) == 5 and all(r.valid for r in got)
 

@@ -60,6 +60,29 @@ def test_changes_once_each(spark, tmp_path):
     assert sorted((r.scan, r.path, r.change) for r in got.collect()) == [(0, "a", "created"), (0, "b", "created"), (1, "a", "modified"), (1, "b", "deleted"), (3, "b", "created")]
 
 
+def test_windows_leave_out_what_comes_too_late(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    src = tmp_path / "in"
+    src.mkdir()
+    put(src, 0, [{"ts": f"2024-01-01 {t}:00"} for t in ("00:10", "00:50", "05:00")])
+    put(src, 1, [{"ts": f"2024-01-01 {t}:00"} for t in ("04:30", "09:00")])
+    put(src, 2, [{"ts": f"2024-01-01 {t}:00"} for t in ("00:20", "09:10", "12:00")])
+    rows = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).json(str(src))
+    got = drain(st.windowed(rows, "ts", "1 hour", F.count("*").alias("n"), delay="1 hour"), tmp_path)
+    assert sorted((r.start.hour, r.end.hour, r.n) for r in got.collect()) == [(0, 1, 2), (4, 5, 1), (5, 6, 1), (9, 10, 2)]
+
+
+def test_an_acquisition_needs_an_agent(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    kind = "path string, seq bigint, ts timestamp_ntz, agent_id string, op string"
+    rows = [{"path": "f", "seq": k, "ts": f"2024-01-01 00:00:0{k}", "agent_id": a, "op": "acquire"} for k, a in enumerate([None, "", "b"])]
+    put(src, 0, rows)
+    got = drain(st.lease_stream(spark.readStream.schema(kind).json(str(src))), tmp_path)
+    assert {r.seq: r.outcome for r in got.collect()} == {0: "invalid", 1: "invalid", 2: "granted"}
+
+
 def test_rebuild_once_per_batch_and_sinks_get_all(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
