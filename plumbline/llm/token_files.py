@@ -145,7 +145,8 @@ class _Parts(dict):
 
     def __init__(self, encoder: Encoder, lead: str, after: _Parts | None = None):
         super().__init__()
-        self.encoder, self.lead, self.after = encoder, lead, after or self
+        self.encoder, self.lead = encoder, lead
+        self.after = self if after is None else after  # an empty dict is false, too
         self.visible_lead = lead.translate(encoder.visible)
 
     def __missing__(self, part: str) -> bytes:

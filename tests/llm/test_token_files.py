@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -8,6 +9,7 @@ import pytest
 from plumbline.llm import token_files as tf
 
 P = pytest.importorskip("public_tokenizers")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def whole(texts):
@@ -26,6 +28,28 @@ def test_encoder_equals_the_library_on_any_text():
         assert [list(np.frombuffer(x, np.dtype(enc.code))) for x in enc.encode(texts)] == whole(texts)
 
 
+def test_encoder_equals_the_library_on_lines_of_words():
+    r = random.Random(4)
+    words = ["the", "The", "Été", "by", "He.", "don't", "word,", "naïve", "x1", "(a)", "12", "日本", "end.", "A" * 50]
+    texts = ["".join(r.choice(words) + r.choice([" ", " ", "\n", "\n\n", "\r\n", "\t"]) for _ in range(40)) + "end" for _ in range(300)]
+    enc = tf.Encoder(P.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        assert [list(np.frombuffer(x, np.dtype(enc.code))) for x in enc.encode(texts)] == whole(texts)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_the_query_equals_the_library_on_a_whole_table(spark):
+    from plumbline.llm.queries import QUERIES
+
+    docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op5_token_files"](spark, SF).collect()}
+    start = 0
+    for (doc_id, _), ids in zip(docs, whole([d.text or "" for d in docs]), strict=True):
+        ids = np.array([*ids, 2], "<u4")
+        assert got[doc_id] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_other_kinds_of_files_take_the_librarys_way():
     from tokenizers import Tokenizer
 
