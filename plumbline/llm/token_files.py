@@ -43,7 +43,7 @@ BLOCK = 512
 #: A file is closed once it has this many ids.
 FILE_TOKENS = 4_000_000
 #: Word pieces that a worker remembers; others are encoded whenever they come.
-MEMORY = 900_000
+MEMORY = 200_000
 LONGEST = 40
 
 _HEADER = struct.Struct("<8sQQQ")
