@@ -41,7 +41,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -56,8 +56,10 @@ TASK_SHINGLES = 40_000
 HELD = 1_000_000
 #: Members that all chunks of a large group get, on average.
 HUBS = 32
-#: Group members up to which their list is broadcast; beyond, documents are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bits that a filter has for each of its ids, and at most in all (64 MB); beyond, more rows pass, none are lost.
+FILTER_BITS, MOST_FILTER_BITS = 32, 1 << 29
+#: Bits of one row of a filter; what ``bitmap_construct_agg`` makes.
+ROW_BITS = 32_768
 
 
 def set_key(s: np.ndarray) -> int:
@@ -337,6 +339,40 @@ def _chunks(members: DataFrame, task_shingles: int) -> DataFrame:
     return placed.select(*members.columns, F.floor(at / task_shingles).alias("chunk"))
 
 
+def _screened(rows: DataFrame, id_: Column, ids: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows`` with columns of a broadcast filter of hashed ``ids`` (id), and whether a row may have one of them.
+
+    A row that has one always passes, about one other in 32 does as well. So texts of
+    rows that take no part in a join by id are kept out of its shuffle, at some bytes an id.
+    """
+    wanted = max(ROW_BITS, FILTER_BITS * ids.count())
+    bits = min(MOST_FILTER_BITS, 1 << (wanted - 1).bit_length())
+    at, row, map_ = ("_" * (1 + max(map(len, rows.columns))) + x for x in ("at", "row", "map"))  # no columns of ``rows``
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+    maps = ids.select(place(F.col("id")).alias(at)).groupBy(F.shiftright(at, 15).alias(row)).agg(F.bitmap_construct_agg(F.col(at) % ROW_BITS).alias(map_))
+    found = rows.withColumn(at, place(id_)).join(F.broadcast(maps), F.shiftright(at, 15) == F.col(row), "left")
+    byte = F.conv(F.hex(F.expr(f"substring({map_}, CAST({at} % {ROW_BITS} AS INT) DIV 8 + 1, 1)")), 16, 10).cast("int")
+    return found, F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, CAST({at} % 8 AS INT))")) != 0, F.lit(False))
+
+
+def _having(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose id may be among ``ids`` (id), for a join."""
+    found, may = _screened(rows, rows[id_col], ids)
+    return found.where(may).select(*[rows[c] for c in rows.columns])
+
+
+def _without(docs: DataFrame, id_col: str, gone: DataFrame, stay: DataFrame) -> DataFrame:
+    """``docs`` whose id, null or one of ``stay`` (id), is not among ``gone`` (id); only texts of the lesser of the two are shuffled."""
+    own = [docs[c] for c in docs.columns]
+    id_ = docs[id_col].cast("long")
+    if stay.count() < gone.count():
+        some = _having(docs, id_col, stay)
+        return docs.where(id_.isNull()).union(some.join(stay, some[id_col].cast("long") == stay["id"], "left_semi"))
+    found, may = _screened(docs, id_, gone)
+    clear, some = found.where(~may).select(*own), found.where(may).select(*own)
+    return clear.union(some.join(gone, some[id_col].cast("long") == gone["id"], "left_anti"))
+
+
 def _connected(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, task_shingles: int, root: str) -> tuple[DataFrame, DataFrame]:
     """(id, node, n) of every row, and (node, root) of the sets that links connect, by the smallest of them."""
     pair = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -348,15 +384,14 @@ def _connected(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     members = written(near.join(ids, "node").select("node", F.col("root").alias("g"), "id", "n"), root, "members")
     total = members.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("size")).withColumn("chunks", F.floor((F.col("total") - 1) / task_shingles) + 1)
     total = written(total, root, "groups")
-    few = members.count() <= BROADCAST_ROWS
-    texts = lambda m: pair.join(F.broadcast(m) if few else m, "id")
+    texts = lambda m: _having(pair, "id", m.select("id")).join(m, "id")
 
     all_ = members.join(total, "g")
     whole = all_.where("chunks = 1").select("g", "node", "id", F.array(F.lit(0).cast("long")).alias("to"))
     large = written(_chunks(all_.where("chunks > 1"), task_shingles), root, "large")
     is_hub = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("size")) < HUBS
     dealt = large.select("g", "node", "id", F.when(is_hub, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk")).alias("to"))
-    first = texts(whole.union(dealt))
+    first = texts(written(whole.union(dealt), root, "first"))
     first = first.select(F.col("g").alias("task1"), F.explode("to").alias("task2"), "node", F.col("node").alias("known"), F.lit(0).alias("side"), "text")
     links = written(_linked(first, width, percent), root, "links")
     found = components(links, root, "found")
@@ -376,7 +411,7 @@ def _connected(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
         as_probe = probes.join(pairs, ["g", "probe"]).select("g", "node", "id", "root", "probe", "chunk", F.lit(1).alias("side"))
         as_chunk = open_.join(pairs, ["g", "chunk"]).select("g", "node", "id", "root", "probe", "chunk", F.lit(0).alias("side"))
         tasks = as_probe.union(as_chunk).groupBy("g", "node", "id", "root", "probe", "chunk").agg(F.max("side").alias("side"))
-        tasks = tasks.groupBy("g", "node", "id", "root").agg(F.collect_list(F.struct("probe", "chunk", "side")).alias("to"))
+        tasks = written(tasks.groupBy("g", "node", "id", "root").agg(F.collect_list(F.struct("probe", "chunk", "side")).alias("to")), root, "tasks")
         rest = texts(tasks).select("g", "node", "root", F.explode("to").alias("to"), "text")
         rest = rest.select(F.col("g").alias("task1"), F.col("to.probe").alias("task2"), F.col("to.chunk").alias("task3"), "node", F.col("root").alias("known"), F.col("to.side").alias("side"), "text")
         more = written(_linked(rest, width, percent), root, "more")
@@ -415,9 +450,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     by_id = table.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows"), F.min("node").alias("node"))
     out = by_id.where("rows = 1 AND node IS NOT NULL").join(firsts, ["id", "node"], "left_anti").select("id")
     again = written(by_id.where("rows > 1").select("id"), root, "again")
-    gone = written(out.union(again).select(F.col("id").alias("_gone")), root, "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    gone = written(out.union(again), root, "gone")
+    stay = written(by_id.select("id").join(gone, "id", "left_anti"), root, "stay")
+    kept = _without(docs, id_col, gone, stay)
     if not again.limit(1).count():
         return kept
 

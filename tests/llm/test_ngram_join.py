@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import ngram_join as nj
 from plumbline.llm.components import components
@@ -181,3 +182,46 @@ def test_very_long_texts(spark):
         near[i] = "edit"
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:30_000])), (4, "x" * 500_000), (5, "x" * 500_000)]
     assert sorted(tuple(x) for x in nj.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()) == brute(rows, 4, 85)
+
+
+def shuffled(spark, run):
+    """Bytes that ``run`` writes to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    no_quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, no_quantiles, None)
+        return {(s := found.apply(k)).stageId(): s.shuffleWriteBytes() for k in range(found.size())}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("copies", [1, 20])
+def test_texts_of_rows_that_take_no_part_are_not_shuffled(spark, monkeypatch, copies):
+    monkeypatch.setattr(nj, "BROADCAST_ROWS", 0, raising=False)  # as if there were many members
+    words = lambda seed: " ".join("%x" % random.Random(f"{seed}-{k}").getrandbits(800) for k in range(80))
+    rows = [(i, words(i // copies)) for i in range(300)] + [(1000, words("x")), (1001, words("x") + " more"), (None, "a b"), (1002, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_at", F.lit(1))
+    found = []
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        n = shuffled(spark, lambda: found.extend(r.doc_id for r in nj.keep_one(docs).select("doc_id").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(found, key=str) == sorted([*range(0, 300, copies), 1000, 1002, None], key=str)
+    assert n < 0.35 * sum(len(t or "") for _, t in rows)
+
+
+def test_a_filter_loses_no_id(spark, monkeypatch):
+    monkeypatch.setattr(nj, "MOST_FILTER_BITS", nj.ROW_BITS, raising=False)  # more ids than it holds well
+    ids = spark.range(-5000, 5000, 7)
+    rows = spark.range(-20_000, 20_000).select("id", F.lit("x").alias("at")).union(spark.sql("SELECT CAST(NULL AS BIGINT), 'x'"))
+    some = nj._having(rows, "id", ids)
+    assert some.columns == rows.columns and some.join(ids, "id").count() == ids.count() and some.count() < 8000
+    for stay, gone in ((spark.range(100), spark.range(100, 40_000)), (spark.range(100, 40_000), spark.range(100))):
+        left = {r.id for r in nj._without(rows.where("id IS NULL OR id >= 0"), "id", gone, stay).collect()}
+        assert left == {r.id for r in stay.where("id < 20000").collect()} | {None}
