@@ -238,15 +238,26 @@ def sla(findings: DataFrame) -> DataFrame:
     return out.select("total", "open", closed.alias("closed"), F.coalesce(F.try_divide(closed, "total"), F.lit(0.0)).alias("regression_rate"))
 
 
-def reports_of(findings: DataFrame, tool_version: str = "1.0") -> DataFrame:
-    """(tool, doc): findings as one report document per tool; level defaults to warning, a location only with a file.
+#: About how many characters of text and bytes of numbers a report document holds before a tool gets another one.
+REPORT_BYTES = 1 << 20
 
-    A document holds its tool's findings whole; write findings by tool and file range where a tool has more than a document should.
+
+def reports_of(findings: DataFrame, tool_version: str = "1.0", most: int = REPORT_BYTES) -> DataFrame:
+    """(tool, part, doc): findings as report documents; level defaults to warning, a location only with a file.
+
+    A tool has one document, part 0, or where its findings are more than about ``most``
+    bytes as many as they fill, to which they are dealt by a hash. Each holds its
+    findings in order.
     """
     place = F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation")))
     level = F.when(F.coalesce("level", F.lit("")) == "", "warning").otherwise(F.col("level"))
     result = F.struct(F.col("seq"), F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.when(F.col("file") != "", place).alias("locations"))
-    rows = findings.groupBy("tool").agg(F.sort_array(F.collect_list(result)).alias("r"))
+    held = F.lit(160) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("rule_id", "level", "message", "file")), F.lit(0))
+    large = findings.groupBy(F.col("tool").alias("_tool")).agg(F.sum(held.cast("long")).alias("n")).where(F.col("n") > most)
+    large = large.select("_tool", F.ceil(F.col("n") / most).alias("_parts"))  # no more rows than documents
+    part = F.coalesce(F.pmod(F.xxhash64("seq", "rule_id", "file", "line", "message"), F.col("_parts")), F.lit(0).cast("long"))
+    dealt = findings.select("tool", result.alias("result"), "seq", "rule_id", "file", "line", "message").join(F.broadcast(large), F.col("tool").eqNullSafe(F.col("_tool")), "left")
+    rows = dealt.select("tool", part.alias("part"), "result").repartition("tool", "part").groupBy("tool", "part").agg(F.sort_array(F.collect_list("result")).alias("r"))
     results = F.transform("r", lambda x: x.dropFields("seq"))
     run = F.struct(F.struct(F.struct(F.col("tool").alias("name"), F.lit(tool_version).alias("version")).alias("driver")).alias("tool"), results.alias("results"))
-    return rows.select("tool", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("doc"))
+    return rows.select("tool", "part", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("doc"))
