@@ -63,24 +63,48 @@ def ewma(samples: DataFrame, alpha: float = ALPHA, threshold: float = DRIFT, min
     return fold(rows, ["key"], ["ts", "seq"], lambda key: None, step, f"key {samples.schema['key'].dataType.simpleString()}, seq bigint, score double, ewma double, drift double, alert boolean")
 
 
-def scope_overlaps(agents: DataFrame) -> DataFrame:
+#: Scopes that meet as many others at a time, and pairs that a partition makes of them.
+BLOCK, TASK_PAIRS = 1_000, 2_000_000
+
+
+def scope_overlaps(agents: DataFrame, block: int = BLOCK) -> DataFrame:
     """(agent_a, agent_b, scope_a, scope_b) of agents (agent_id, scope array) one of whose scopes, trailing stars off, begins with the other's; an empty one meets all.
 
-    A prefix meets what begins with it: every scope is joined with all beginnings of
-    the others' by equality, so that no pair is formed that does not overlap; only
-    empty scopes, which meet all by definition, are joined with everything.
+    Beginnings are matched by equality, among distinct ones. What has a beginning then
+    meets what is equal to it or goes on from it, in blocks against blocks, so that a
+    widespread beginning is dealt evenly. Every pair is made once and none that does not
+    overlap; only the pairs themselves may be many.
     """
-    s = agents.select("agent_id", F.explode("scope").alias("scope")).withColumn("clean", F.regexp_replace("scope", r"\*+$", "")).distinct()
-    a = s.select(F.col("agent_id").alias("x"), F.col("scope").alias("sx"), F.col("clean").alias("cx"))
-    b = s.select(F.col("agent_id").alias("y"), F.col("scope").alias("sy"), F.col("clean").alias("cy"))
-    starts = b.where("cy <> ''").withColumn("cx", F.explode(F.transform(F.sequence(F.lit(1), F.length("cy")), lambda n: F.substring("cy", F.lit(1), n))))
-    found = a.where("cx <> ''").join(starts, "cx").where("x <> y").select("x", "sx", "y", "sy")
-    empty = a.where("cx = ''").join(b, F.col("x") != F.col("y")).select("x", "sx", "y", "sy")
-    both = found.unionByName(empty)
+    s = agents.select("agent_id", F.explode("scope").alias("scope")).where("agent_id IS NOT NULL AND scope IS NOT NULL").distinct().withColumn("p", F.regexp_replace("scope", r"\*+$", ""))
+    known = s.select("p").distinct()
+    longer = known.where("p <> ''").select(F.col("p").alias("clean"), F.explode(F.transform(F.sequence(F.lit(0), F.length("p") - 1), lambda n: F.substring("p", F.lit(1), n))).alias("p"))
+    on = s.withColumnRenamed("p", "clean").join(longer.join(known, "p", "left_semi"), "clean").select("agent_id", "scope", "p")  # what goes on from p
+    sizes = s.select("p", F.lit(1).alias("t"), F.lit(0).alias("d")).union(on.select("p", F.lit(0), F.lit(1))).groupBy("p").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+    pairs = sizes.agg(F.sum(F.col("t").cast("double") * (F.col("t") / 2 + F.col("d")))).first()[0] or 0
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1).cast("long")).alias(c)
+    large = F.broadcast(sizes.where((F.col("t") > block) | (F.col("d") > block)).select(F.col("p").alias("large"), blocks("t"), blocks("d")))  # few: each has more than a block
+
+    def dealt(rows: DataFrame, count: str, places) -> DataFrame:
+        own = F.pmod(F.xxhash64("agent_id", "scope"), F.coalesce(count, F.lit(1).cast("long")))
+        t, d = (F.coalesce(c, F.lit(1).cast("long")) for c in ("t", "d"))
+        rows = rows.join(large, F.col("p") == F.col("large"), "left").select("agent_id", "scope", "p", t.alias("t"), d.alias("d"), own.alias("own"))
+        return rows.select("agent_id", "scope", "p", F.explode(places).alias("at")).select("agent_id", "scope", "p", "at.*")
+
+    upto = lambda a, b, at: F.transform(F.sequence(a, b), at)
+    task = lambda same, i, j: F.struct(F.lit(same).alias("same"), i.alias("i"), j.alias("j"))
+    none, own = F.lit(0).cast("long"), F.col("own")
+    left = dealt(s, "t", F.concat(upto(none, F.col("d") - 1, lambda j: task(False, own, j)), upto(own, F.col("t") - 1, lambda j: task(True, own, j))))
+    right = dealt(on, "d", upto(none, F.col("t") - 1, lambda i: task(False, i, own))).union(dealt(s, "t", upto(none, own, lambda i: task(True, i, own))))
+    key = ["p", "same", "i", "j"]
+    left, right = left.withColumnsRenamed({"agent_id": "x", "scope": "sx"}), right.withColumnsRenamed({"agent_id": "y", "scope": "sy"})
+    if pairs > TASK_PAIRS:  # the rows that meet are few, so adaptive execution would put them in few tasks
+        n = max(int(agents.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / TASK_PAIRS))
+        left, right = left.repartition(n, *key), right.repartition(n, *key)
+    met = left.join(right, key).where((F.col("x") != F.col("y")) & (~F.col("same") | (F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))))
     first = F.col("x") < F.col("y")
-    return both.select(
+    return met.select(
         F.when(first, F.col("x")).otherwise(F.col("y")).alias("agent_a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("agent_b"), F.when(first, F.col("sx")).otherwise(F.col("sy")).alias("scope_a"), F.when(first, F.col("sy")).otherwise(F.col("sx")).alias("scope_b")
-    ).distinct()
+    )
 
 
 def active_agents(events: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import memory as me
 from plumbline.operators import sequences as sq
@@ -49,6 +50,25 @@ def test_scopes(spark):
     assert {(r.agent_a, r.agent_b) for r in sq.scope_overlaps(agents).collect()} == {("a", "b"), ("a", "c"), ("b", "c"), ("c", "d")}
 
 
+def test_scopes_meet_in_blocks_and_every_pair_is_made_once(spark, monkeypatch):
+    monkeypatch.setattr(sq, "TASK_PAIRS", 10, raising=False)
+    kinds = ["*", "", "a*", "a**", "a/", "a/b", "a/b*", "a/c", "b", None]
+    rows = [(f"u{k}", [kinds[k % 10], kinds[k * 7 % 9], kinds[k % 10]]) for k in range(60)] + [(None, ["a"])]
+    clean = lambda x: x.rstrip("*")
+    flat = {(a, x) for a, xs in rows for x in xs if a is not None and x is not None}
+    want = sorted((a, b, x, y) for a, x in flat for b, y in flat if a < b and (clean(x).startswith(clean(y)) or clean(y).startswith(clean(x))))
+    got = sq.scope_overlaps(spark.createDataFrame(rows, "agent_id string, scope array<string>"), 7)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_no_scope_of_many_agents_is_one_task(spark):
+    agents = spark.range(5000).select(F.concat(F.lit("u"), "id").alias("agent_id"), F.array(F.lit("src/*"), F.concat(F.lit("src/"), F.col("id") % 3)).alias("scope"))
+    parts = [r["n"] for r in sq.scope_overlaps(agents).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    each = [1667, 1667, 1666]
+    assert sum(parts) == 5000 * 4999 // 2 + 5000 * 4999 + sum(n * (n - 1) // 2 for n in each)
+    assert max(parts) < 0.4 * sum(parts)
+
+
 def test_changes_of_snapshots(spark):
     kind = "path string, size long, mod_time timestamp_ntz"
     a = spark.createDataFrame([("same", 1, T0), ("grown", 1, T0), ("older", 1, at(9)), ("gone", 1, T0)], kind)
